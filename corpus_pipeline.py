@@ -1,4 +1,4 @@
-"""Corpus preparation: quality rules, near-duplicates, personal data, source mix.
+"""Corpus preparation: quality rules, near-duplicates, personal data, source mix, tokens.
 
 Each stage works on all that its predecessor kept, is written as Parquet and read again, so a later stage neither
 recomputes an earlier one nor depends on the executors that ran it.
@@ -9,9 +9,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import mixing, pii, quality_rules, simhash_dedup
+from scriptorium.llm import bpe, mixing, pii, quality_rules, simhash_dedup
 from scriptorium.llm.lineage import shared_folder
 from scriptorium.tables import table
 
@@ -40,11 +41,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select(*COLUMNS)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: the ids of each text, packed as little-endian unsigned 32-bit integers."""
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", clean),
     ("simhash_near_dedup", deduplicate),
     ("pii", redact),
     ("source_mixing", mix),
+    ("byte_bpe", tokenize),
 ]
 
 #: Hashing by XXH64 and the merges of a tokenizer are beyond SQL; the tests hold run() against a brute-force version.
