@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, mixing, pii, quality_rules, simhash_dedup, token_counts
+from scriptorium.llm import bpe, chat, mixing, pii, quality_rules, simhash_dedup, token_counts, url_filter
 from scriptorium.tables import table
 
 
@@ -34,6 +34,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -44,10 +49,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"quality.{f}").alias(f) for f in fields))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), temperature=0.5, size=1.0, seed=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_byte_bpe, op3_pii, op5_token_counts, op7_quality_rules, op9_mixing)
+    found = (op1_simhash_dedup, op2_byte_bpe, op3_pii, op4_url_filter, op5_token_counts, op7_quality_rules, op8_chat_formatting, op9_mixing)
     return {f.__name__: f for f in found}
