@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat, mixing, pii, quality_rules, simhash_dedup, token_counts, url_filter
+from scriptorium.llm import bpe, chat, fingerprints, html_extract, mixing, pii, quality_rules, simhash_dedup, token_counts, url_filter
 from scriptorium.tables import table
 
 
@@ -43,6 +43,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -57,6 +70,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), temperature=0.5, size=1.0, seed=1)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_byte_bpe, op3_pii, op4_url_filter, op5_token_counts, op7_quality_rules, op8_chat_formatting, op9_mixing)
+    found = (
+        op1_simhash_dedup,
+        op2_byte_bpe,
+        op3_pii,
+        op4_url_filter,
+        op5_token_counts,
+        op6_document_fingerprints,
+        op7_quality_rules,
+        op8_chat_formatting,
+        op9_mixing,
+        op10_html_extraction,
+    )
     return {f.__name__: f for f in found}
