@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import constants as K
+from scriptorium.functions.arrow import arrow_function
 
 
 def ranges(text: str) -> list[tuple[int, int]]:
@@ -112,13 +113,13 @@ def is_tell(char: str, convention: str | None) -> bool:
     return _inside(char, _HAN) and not _fits(char, K.REPERTOIRES[convention])
 
 
-@F.pandas_udf("array<string>")
+@arrow_function("array<string>")
 def tells(text: pd.Series, convention: pd.Series) -> pd.Series:
     """SCR-10: the characters that cannot belong to the convention, in order; codecs exist in Python only."""
     return pd.Series([[c for c in unicodedata.normalize("NFKC", t or "") if is_tell(c, k)] for t, k in zip(text, convention)])
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def convention_of(text: pd.Series) -> pd.Series:
     """SCR-11: the one convention that holds all Han and kana of the text, else null."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import constants as K
+from scriptorium.functions.arrow import arrow_function
 
 _EDGES = r"^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
 
@@ -39,7 +40,7 @@ def casefold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; no built-in expression does it, so Arrow batches carry it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -173,10 +174,11 @@ def has_inner_gap(text: Column) -> Column:
 def write_find_say(text: Column) -> Column:
     """PRJ-6: (kind, snippet) of quoted strings, form names, addresses: what usually stays verbatim."""
     t = _or_empty(text)
-    kinds = (("quoted", K.QUOTED), ("form-name", K.FORM_NAME), ("url-or-email", K.URL_EMAIL))
-    return F.concat(
-        *(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("snippet"))) for k, p in kinds)
-    )
+
+    def hits(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("snippet")))
+
+    return F.concat(hits("quoted", K.QUOTED), hits("form-name", K.FORM_NAME), hits("url-or-email", K.URL_EMAIL))
 
 
 def strip_inline_markup(text: Column) -> Column:
@@ -328,4 +330,4 @@ def rgb_of_components(parts: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Make the text functions callable from SQL as ``scr_<name>``, as SQL functions where the session allows them."""
-    spark.udf.register("scr_nfkc", nfkc)
+    spark.udf.register("scr_nfkc", nfkc.udf())

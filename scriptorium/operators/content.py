@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.arrow import arrow_function
+
 #: Fixed value: operators that show or place text, which go with their text object.
 TEXT_OPERATORS = "Tc Tw Tz TL Tf Tr Ts Td TD Tm T* Tj TJ ' \"".split()
 _TOKEN = re.compile(rb"%[^\r\n]*|\((?:\\.|[^()\\]|\((?:\\.|[^()\\])*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|[\[\]{}]|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+", re.S)
@@ -49,13 +51,13 @@ def parsed(data: bytes) -> Iterator[tuple[list[str], str]]:
             operands = []
 
 
-@F.pandas_udf("array<struct<operands:array<string>,op:string>>")
+@arrow_function("array<struct<operands:array<string>,op:string>>")
 def operators(content: pd.Series) -> pd.Series:
     """The operators of content streams."""
     return pd.Series([[{"operands": o, "op": p} for o, p in parsed(bytes(c or b""))] for c in content])
 
 
-@F.pandas_udf("array<binary>")
+@arrow_function("array<binary>")
 def flate_streams(file: pd.Series) -> pd.Series:
     """The streams of a PDF file, inflated where they are Flate data."""
 
@@ -71,7 +73,7 @@ def flate_streams(file: pd.Series) -> pd.Series:
     return file.map(one)
 
 
-@F.pandas_udf("array<struct<op:string,a:double,b:double,c:double,d:double,e:double,f:double,mode:int>>")
+@arrow_function("array<struct<op:string,a:double,b:double,c:double,d:double,e:double,f:double,mode:int>>")
 def shown_text_states(content: pd.Series) -> pd.Series:
     """WIN-12: for every text-showing operator the matrix in force (text times transformation) and the render mode,
     with the state pushed and popped by q and Q."""

@@ -119,7 +119,12 @@ def occurrences(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     if not sizes:
         return phrases.select("item_id").limit(0).join(texts.select("doc_id").limit(0), F.lit(True))
     starts = texts.select("doc_id", "text", words(F.col("text")).alias("w"))
-    grams = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, n), " "))) for n in sizes)))
+
+    def grams_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, n), " ")))
+
+    grams = F.flatten(F.array(*(grams_of(n) for n in sizes)))
     met = starts.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
     return met.join(texts.select("doc_id", "text"), "doc_id").join(listed.select("item_id", "phrase"), "item_id").filter(F.contains(F.col("text"), F.col("phrase"))).select("item_id", "doc_id")
 

@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import constants as K
+from scriptorium.functions.arrow import arrow_function
 
 
-@F.pandas_udf("long")
+@arrow_function("long")
 def dark_pixels(samples: pd.Series, channels: pd.Series) -> pd.Series:
     """AGG-11: pixels whose first channel is dark."""
     return pd.Series([int((np.frombuffer(s, np.uint8)[:: int(n)] < K.DARK_BELOW).sum()) if s is not None else None for s, n in zip(samples, channels)], dtype="Int64")
 
 
-@F.pandas_udf("long")
+@arrow_function("long")
 def changed_channels(a: pd.Series, b: pd.Series, delta: pd.Series) -> pd.Series:
     """AGG-11: channels of two rasters that differ by more than delta, over their common length."""
 
@@ -29,7 +30,7 @@ def changed_channels(a: pd.Series, b: pd.Series, delta: pd.Series) -> pd.Series:
     return pd.Series([one(x, y, int(d)) for x, y, d in zip(a, b, delta)], dtype="Int64")
 
 
-@F.pandas_udf("double")
+@arrow_function("double")
 def difference_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """AGG-12: differing over all set bits of two bitmaps; 0 for two empty ones."""
 

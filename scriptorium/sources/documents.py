@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.arrow import arrow_function
+
 BOX = "array<double>"
 SEGMENT = f"struct<id:int,page:int,bbox:{BOX},origin:{BOX},size:double,color:int,bold:boolean,italic:boolean,dir:{BOX},text:string,marker:string,gap:string,core:string,body_dx:double,dots:string,tail:string,passthrough:boolean,occurrence_id:string>"
 WARNING = f"struct<kind:string,page:int,id:int,ids:array<int>,text:string,hit:string,lines:array<string>,width:double,right_edge:double,bbox:{BOX},fraction:double,why:string>"
@@ -77,13 +79,13 @@ def _strict(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def strict_json_error(text: pd.Series) -> pd.Series:
     """SRC-15: the strict decoder's refusal; null for valid text."""
     return text.map(_strict)
 
 
-@F.pandas_udf("string")
+@arrow_function("string")
 def canonical_digest(text: pd.Series) -> pd.Series:
     """MAP-1: SHA-256 of a JSON text's canonical form: sorted keys, no spaces, no numbers that are not finite."""
 
