@@ -76,9 +76,8 @@ def inconsistent(pairs: DataFrame) -> DataFrame:
 def glossary_findings(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """JOIN-4: (core, target, term, term_target): a source term in the core whose target term is not in the target.
 
-    A term can only be in a core that has a word beginning with, or containing, the term's text; so pairs and terms
-    meet on the words of the core that start where the term's first word starts. Terms inside longer words are found
-    by a term table that is broadcast while it is small enough.
+    A small termbase, its size checked, is broadcast and tested against every core. A large one meets the cores on the
+    term's first three characters, which any core that contains the term has somewhere; both ways find the same.
     """
     folded = terms.select(F.col("source").alias("term"), F.col("target").alias("term_target")).distinct()
     small = folded.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
@@ -86,9 +85,15 @@ def glossary_findings(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     inside = T.contains_folded(F.col("core"), F.col("term")) & ~T.contains_folded(T.strip_inline_markup(F.col("target")), F.col("term_target"))
     if small:
         return shown.join(F.broadcast(folded), inside).select(*pairs.columns, "term", "term_target")
-    piece = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
-    by_piece = shown.withColumn("_piece", F.explode(piece(T.casefold(F.col("core")))))
-    keyed = folded.withColumn("_piece", F.substring(T.casefold(F.col("term")), 1, 3))
+    first = F.substring(T.casefold(F.col("term")), 1, 3)
+    sizes = [r["n"] for r in folded.select(F.length(first).alias("n")).distinct().collect()]  # 1, 2, 3 at most
+
+    def pieces(c: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+
+    found = F.array_distinct(F.flatten(F.array(*(pieces(T.casefold(F.col("core")), n) for n in sizes))))
+    by_piece = shown.withColumn("_piece", F.explode(found))
+    keyed = folded.withColumn("_piece", first)
     return by_piece.join(keyed, "_piece").filter(inside).select(*pairs.columns, "term", "term_target").distinct()
 
 

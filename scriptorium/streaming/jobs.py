@@ -15,18 +15,23 @@ def arriving(spark: SparkSession, path: str, schema: StructType | str, files_a_b
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream's event times as instants, which watermarks need, with its watermark; a batch as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def event_windows(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, value) over tumbling or sliding windows; on a stream, events later than ``late`` are left
     out and a window is final when the watermark passes it."""
     frame = F.window("ts", length, slide) if slide else F.window("ts", length)
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = _watermarked(events, late)
     out = source.groupBy(frame.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """(user_id, start, n, value): a user's events with no gap of that length between them."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = _watermarked(events, late)
     out = source.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
     return out.select("user_id", F.col("w.start").alias("start"), "n", "value")
 
