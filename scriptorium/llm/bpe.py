@@ -263,4 +263,4 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str = BYTE_LEVEL, keep: t
                     columns.append(pa.array([merges.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)

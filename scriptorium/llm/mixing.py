@@ -71,17 +71,17 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     gives an empty mix.
     """
     columns = [c for c in docs.columns if c != "copy_no"]
-    tables = source_rates(docs, weights, temperature, size).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
-    same = F.col("source").eqNullSafe(F.col("_source"))
+    tables = source_rates(docs, weights, temperature, size).select(F.col("source").alias("__mix_source"), poisson_steps(F.col("rate")).alias("__mix_steps"))
+    same = F.col("source").eqNullSafe(F.col("__mix_source"))
     if tables.limit(broadcast_sources + 1).count() <= broadcast_sources:
         joined = docs.select(columns).join(F.broadcast(tables), same)
     else:
-        salted = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        dealt = docs.select(columns).withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
-        joined = dealt.join(salted, same & (F.col("_deal") == F.col("_salt"))).drop("_deal", "_salt")
+        salted = tables.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        dealt = docs.select(columns).withColumn("__mix_deal", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+        joined = dealt.join(salted, same & (F.col("__mix_deal") == F.col("__mix_salt"))).drop("__mix_deal", "__mix_salt")
     draw = uniform(seed, F.col("doc_id"))
-    copies = F.size(F.filter("_steps", lambda step: step < draw))
-    counted = joined.withColumn("_copies", copies).filter("_copies > 0")
-    exploded = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
+    copies = F.size(F.filter("__mix_steps", lambda step: step < draw))
+    counted = joined.withColumn("__mix_copies", copies).filter("__mix_copies > 0")
+    exploded = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("copy_no"))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy_no"))
-    return exploded.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").drop("_place")
+    return exploded.withColumn("__mix_place", place).repartition("__mix_place").sortWithinPartitions("__mix_place").drop("__mix_place")

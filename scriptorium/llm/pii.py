@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.native import let
+from scriptorium.llm.native import fresh, let
 
 #: How much a context word nearby adds to a score, and how far before a span it is looked for, in code points.
 CONTEXT_GAIN = 0.35
@@ -117,15 +117,15 @@ def _spans_of(text: Column, ordinal: int, kind: Kind) -> Column:
     return F.when(text.rlike(kind.pattern), let(pieces, lambda p: let(matches, lambda m: scored(placed(p, m))))).otherwise(none)
 
 
-def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` (with text) plus ``pii_spans``: all spans by start, then kind as listed; (start, ord, end, kind, score).
+def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, name: str = "pii_spans") -> DataFrame:
+    """``docs`` (with text) plus the column ``name``: all spans by start, then kind as listed; (start, ord, end, kind, score).
 
-    Spans of different kinds may overlap. Defined cases: a null or empty text has no spans; a column named pii_spans
+    Spans of different kinds may overlap. Defined cases: a null or empty text has no spans; a column of that name
     is replaced, others are carried along whatever their names; every row is searched by itself, whole.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     each = [_spans_of(text, i, k) for i, k in enumerate(kinds)]
-    return docs.withColumn("pii_spans", F.sort_array(F.concat(*each)))
+    return docs.withColumn(name, F.sort_array(F.concat(*each)))
 
 
 def spans_text(spans: Column) -> Column:
@@ -150,7 +150,8 @@ def redacted_text(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with personal data replaced in ``text`` and ``n_chars``, if present, brought up to date."""
-    out = with_spans(docs, kinds).withColumn("text", redacted_text(F.col("text"), F.col("pii_spans")))
+    spans = fresh(docs, "pii_spans")
+    out = with_spans(docs, kinds, spans).withColumn("text", redacted_text(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.native import let, words_of
+from scriptorium.llm.native import fresh, let, words_of
 
 #: Fixed phrases of site furniture, matched without regard to case in lines of at most ``boilerplate_words`` words.
 BOILERPLATE = (
@@ -110,12 +110,12 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     return let(F.size(words_of(line)), lambda n: (n > 0) & judged(n))
 
 
-def judged(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """``docs`` plus a struct column ``quality``: the measures, base_failed, kept and the cleaned text.
+def judged(docs: DataFrame, rules: LineRules = LineRules(), name: str = "quality") -> DataFrame:
+    """``docs`` plus a struct column ``name``: the measures, base_failed, kept and the cleaned text.
 
     Defined cases: a null text counts as empty and is rejected (no words); blank lines neither fail nor count; a text
     of one very long line or of very many lines is judged whole; repeated rows are judged alike; other columns,
-    whatever their names, are carried along, but a column named ``quality`` is replaced.
+    whatever their names, are carried along, but a column of that name is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = words_of(text)
@@ -139,12 +139,13 @@ def judged(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text")
         return F.struct(*(m[f].alias(f) for f in fields), failed.alias("base_failed"), kept.alias("kept"))
 
-    return docs.withColumn("quality", let(let(words, measures), verdict))
+    return docs.withColumn(name, let(let(words, measures), verdict))
 
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The kept documents with their failed lines removed and ``n_chars``, if present, brought up to date."""
-    out = judged(docs, rules).filter("quality.kept").withColumn("text", F.col("quality.clean_text"))
+    verdict = fresh(docs, "verdict")
+    out = judged(docs, rules, verdict).filter(F.col(f"{verdict}.kept")).withColumn("text", F.col(f"{verdict}.clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)

@@ -123,10 +123,10 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + PATTERNS) -> Dat
         return F.array_min(ranked)
 
     verdicts = let(fitting, lambda fit: F.struct(first(fit, True).alias("listed"), first(fit, False).alias("own")))
-    out = with_host_and_path(pages).withColumn("_fit", verdicts)
+    out = with_host_and_path(pages).withColumn("__fit", verdicts)
     return out.select(
-        *[c for c in out.columns if c not in ("_fit", "rule", "pattern", "verdict")],
-        F.col("_fit.listed.name").alias("rule"),
-        F.col("_fit.own.name").alias("pattern"),
-        F.coalesce("_fit.listed.action", "_fit.own.action", F.lit("allow")).alias("verdict"),
+        *[c for c in out.columns if c not in ("__fit", "rule", "pattern", "verdict")],
+        F.col("__fit.listed.name").alias("rule"),
+        F.col("__fit.own.name").alias("pattern"),
+        F.coalesce("__fit.listed.action", "__fit.own.action", F.lit("allow")).alias("verdict"),
     )

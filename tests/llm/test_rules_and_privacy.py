@@ -1,0 +1,133 @@
+"""Quality rules and personal data against plain Python, on the tables and on odd rows."""
+
+import hashlib
+import random
+
+import pytest
+from tests.llm.plain import base_spans, quality, words_of
+from pyspark.sql import functions as F
+
+from scriptorium.llm import pii, queries, quality_rules
+from scriptorium.tables import table
+
+SCHEMA = "doc_id long, text string, quality string, pii_spans int, words string"
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "x", 0, "w") for i, t in enumerate(texts)], SCHEMA)
+
+
+def test_quality_query_against_plain_python(spark, smallest):
+    docs = {r["doc_id"]: r["text"] for r in table(spark, smallest, "documents").collect()}
+    rows = queries.op7_quality_rules(spark, smallest).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == quality(docs[r["doc_id"]]), r["doc_id"]
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_kept_follows_the_labels(spark, smallest):
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    joined = queries.op7_quality_rules(spark, "/root/testdata/sf0.01").join(labels, "doc_id")
+    long = joined.filter("n_words >= 10")
+    assert long.filter("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.97
+    assert long.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] < 0.2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_on_random_words(spark, seed):
+    r = random.Random(seed)
+    texts = [" ".join(r.choices("ab cd e f".split(), k=r.randrange(0, 60))) + r.choice(["", "\n", "\n\nab"]) for _ in range(60)]
+    found = quality_rules.judged(frame(spark, texts)).orderBy("doc_id").collect()
+    for t, row in zip(texts, found):
+        q = row["quality"]
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"], q["base_failed"]) == quality(t), t
+
+
+def test_odd_texts(spark):
+    texts = [None, "", " \n\x0b\t ", "one", "é" * 10, "a\n" * 30_000, "word " * 40_000, "x" * 200_000, " 　a b", "same line here now.\nsame line here now."]
+    df = frame(spark, texts)
+    for t, row in zip(texts, quality_rules.judged(df).orderBy("doc_id").collect()):
+        q = row["quality"]
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"], q["base_failed"]) == quality(t)
+    assert quality_rules.cleaned(df).columns == df.columns
+    assert quality_rules.judged(df.limit(0)).collect() == []
+
+
+def test_lines_are_removed_and_clean_text_stays(spark):
+    prose = "This line is plain prose and ends as prose should end."
+    junk = ["Home | News | Sport | More", "We use it: accept cookies now.", "BUY!! NOW!! GO!! ON!!", "a### b*** c%%% d$$$", "menu"]
+    other = "Another line follows it, longer than the first one, with words of its own."
+    texts = ["\n".join([prose, j, "", other]) for j in junk] + [prose + "\n" + prose.upper(), "\n".join(junk + [prose])]
+    rows = quality_rules.cleaned(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows[: len(junk)]] == [f"{prose}\n\n{other}"] * len(junk)
+    assert rows[len(junk)]["text"] == texts[len(junk)]
+    assert len(rows) == len(junk) + 1  # the last text loses too much
+
+
+def test_pii_query_against_plain_python(spark, smallest):
+    docs = {r["doc_id"]: r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    hits = 0
+    for r in queries.op3_pii(spark, "/root/testdata/sf0.01").collect():
+        spans = base_spans(docs[r["doc_id"]])
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), (r["doc_id"], text, r["spans"])
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+        hits += len(spans)
+    assert hits > 40
+
+
+TRICKY = [
+    None,
+    "",
+    "a@b",
+    "a@b.c_d@e.f",
+    "x@y@z.com and .a.b-c@d-.e..f@g.h",
+    "1.2.3.4.5.6.7.8.9",
+    "256.1.1.1 0001.02.3.255 1.2.3",
+    "4111 1111 1111 1111",
+    "4111-1111 1111-1111 and 4111  1111 1111 1111",
+    "0" * 14 + " " + "0" * 20,
+    "+1 (771) 555-1655 or +49.30.1234567) and +1+2345678901 +12345678901234567",
+    "é日本 4111111111111111 👍 me@x.org",
+    "+4111111111111111",
+    "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1",
+    "a" * 50_000,
+    "1" * 50_000,
+    "1." * 30_000,
+    "a@" + "b." * 30_000 + "c",
+    "+1 " + "1 " * 30_000,
+    "a.b@c.d " * 3000,
+]
+
+
+def test_tricky_spans(spark):
+    rows = pii.with_spans(frame(spark, TRICKY)).orderBy("doc_id").select(pii.spans_text(pii.base_spans(F.col("pii_spans"))).alias("s")).collect()
+    for t, row in zip(TRICKY, rows):
+        assert row["s"] == ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(t)), (t or "")[:40]
+
+
+def test_random_spans(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choices("ab.@-+ 0123456789()%é\n", k=r.randrange(0, 80))) for _ in range(400)]
+    rows = pii.with_spans(frame(spark, texts)).orderBy("doc_id").select(pii.spans_text(pii.base_spans(F.col("pii_spans"))).alias("s")).collect()
+    for t, row in zip(texts, rows):
+        assert row["s"] == ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(t)), t
+
+
+def test_checksums_and_context(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE88 3704 0044 0532 0130 00 ok", "SSN 123-45-6789", "part 123-45-6789", "SSN 000-45-6789", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "hash 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
+    kinds = [[s["kind"] for s in row["pii_spans"] if s["kind"] in ("iban", "ssn", "secret")] for row in pii.with_spans(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert kinds == [["iban"], [], ["ssn"], [], [], ["secret"], []]
+
+
+def test_redaction(spark):
+    texts = ["mail me@x.org, call +1 (771) 555-1655.", "é 4111111111111111 +4111111111111111", "none", None]
+    rows = pii.redacted(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == ["mail <EMAIL>, call <PHONE>.", "é <CARD> +<CARD>", "none", None]
+    assert rows[0]["pii_spans"] == 0  # a column of that name stays the caller's
+
+
+def test_words():
+    assert words_of(" a\x0bb ") == ["a", "b"]
