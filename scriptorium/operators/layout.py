@@ -62,3 +62,8 @@ def kinsoku(stacked: DataFrame) -> DataFrame:
     starts = F.when((F.col("place") > 0) & one_of(first, K.KINSOKU_START) & ~F.col("_marker"), F.lit("line-start"))
     problems = F.filter(F.array(ends, starts), lambda p: p.isNotNull())
     return judged.filter(F.col("_cjk") & long).select("doc_id", "page", "line_no", F.explode(problems).alias("problem"))
+
+
+def judged_documents(stacked: DataFrame) -> DataFrame:
+    """(doc_id) documents with a CJK line: the others have nothing to judge."""
+    return stacked.filter(S.has_cjk(F.col("text"))).select("doc_id").distinct()

@@ -98,6 +98,12 @@ def unshaped_arabic(pages: DataFrame) -> DataFrame:
     return counted.filter("connected = 0 and isolated >= 3").select("doc_id", "page", "isolated")
 
 
+def arabic_judged(pages: DataFrame) -> DataFrame:
+    """(doc_id) documents with any of the forms: the others have nothing to judge."""
+    forms = S.arabic_forms(F.col("text"))
+    return pages.filter((forms["isolated"] > 0) | (forms["connected"] > 0)).select("doc_id").distinct()
+
+
 def tell_lines(lines: DataFrame, source: str, target: str, allow: list[str] | None = None) -> DataFrame:
     """Lines (doc_id, line_no, text) with characters impossible in the target convention: (doc_id, line_no, n_tells,
     status). FAIL where the pair separates surely and a line has enough of them, else REVIEW."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import segments as seg
-from scriptorium.tables import table
+from scriptorium.tables import spread, table
 
 LINES_A_PAGE = 12
 
@@ -32,7 +32,7 @@ SQL_PAIRS = """pairs AS (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seg.lines_of(table(spark, sf_dir, "documents"))
+    return seg.lines_of(spread(table(spark, sf_dir, "documents")))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

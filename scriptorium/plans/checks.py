@@ -10,7 +10,7 @@ from scriptorium.operators import geometry, leaks, parity, qa, review
 from scriptorium.plans import bindings as B
 from scriptorium.sources import documents as src
 from scriptorium.streaming import jobs
-from scriptorium.tables import table
+from scriptorium.tables import spread, table
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ FROM l LEFT JOIN k USING (core) LEFT JOIN s ON s.core = l.core GROUP BY ALL"""
 
 def placed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark items stand verbatim in which documents."""
-    return parity.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return parity.occurrences(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 PLACED_ITEMS = "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
@@ -118,7 +118,7 @@ PLACED_ITEMS = "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON cont
 
 def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines as authored targets, half of them altered, against their documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     first = F.substring_index("text", "\n", 2)
     targets = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, first).otherwise(F.concat(first, F.lit(" zz"))).alias("target"))
     return parity.missing_targets(docs, targets).select("doc_id")
@@ -130,7 +130,7 @@ SELECT doc_id FROM t WHERE length({_WS.replace('@@', 'target')}) >= 2 AND NOT co
 
 
 def missing_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     spans = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(F.lit(p), F.substring("text", 5, 10)).alias("snippet")) for k, p in (("quoted", ""), ("form-name", "Form "), ("url-or-email", "http://"))))).alias("s")).select("doc_id", "s.kind", "s.snippet")
     allow = spans.filter("doc_id % 4 = 0").select("snippet")
     return parity.missing_identifiers(docs, spans, allow)
@@ -144,7 +144,7 @@ SELECT doc_id, snippet FROM s WHERE length({_FOLD.replace('@@', 'snippet')}) >=
 
 def source_word_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a document's first line as its source words, the rest of it as output; one phrase in ten is kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     words = leaks.source_words(docs.select("doc_id", F.substring_index("text", "\n", 1).alias("text")))
     keep = docs.filter("doc_id % 10 = 0").select("doc_id", F.substring("text", 1, 30).alias("phrase"))
     return leaks.source_word_runs(docs, words, keep).select("doc_id", "start", "n_words", "bucket")

@@ -10,7 +10,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import content, leaks, parity
 from scriptorium.operators import segments as seg
 from scriptorium.plans import bindings as B
-from scriptorium.tables import table
+from scriptorium.tables import spread, table
 
 
 def cores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ FROM g GROUP BY doc_id, line_no, group_no"""
 
 def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", S.dominant_script(text).alias("script"), S.has_spaceless_script(text).alias("spaceless"), S.needs_shaping(text).alias("shaping"), S.is_rtl(text).alias("rtl"), S.has_cjk(text).alias("cjk"), F.size(S.complex_scripts(text)).alias("n_complex"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", S.dominant_script(text).alias("script"), S.has_spaceless_script(text).alias("spaceless"), S.needs_shaping(text).alias("shaping"), S.is_rtl(text).alias("rtl"), S.has_cjk(text).alias("cjk"), F.size(S.complex_scripts(text)).alias("n_complex"))
 
 
 SCRIPT_PROFILE = """SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-zªºÀ-ÖØ-öø-ɏ]') THEN 'Latin' END AS script,
@@ -120,7 +120,7 @@ SCRIPT_PROFILE = """SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-zªºÀ
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_ws(text)).alias("ws"), F.md5(T.fold_drift(text)).alias("folded"), F.md5(T.normalize_key(text)).alias("key"), F.md5(T.run_key(text)).alias("run_key"), T.last_char(text).alias("last_char"), F.md5(T.casefold(text)).alias("casefold"), F.hex(F.encode(F.substring(text, 1, 8), "UTF-16BE")).alias("hex"), T.has_double_space(text).alias("double_space"), T.has_space_before_punctuation(text).alias("loose"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(T.normalize_ws(text)).alias("ws"), F.md5(T.fold_drift(text)).alias("folded"), F.md5(T.normalize_key(text)).alias("key"), F.md5(T.run_key(text)).alias("run_key"), T.last_char(text).alias("last_char"), F.md5(T.casefold(text)).alias("casefold"), F.hex(F.encode(F.substring(text, 1, 8), "UTF-16BE")).alias("hex"), T.has_double_space(text).alias("double_space"), T.has_space_before_punctuation(text).alias("loose"))
 
 
 NORMALIZED_TEXT = """SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS ws, md5(translate(text, concat(chr(160), chr(8239), chr(8199), chr(8208), chr(8209), chr(173)), '   ---')) AS folded,

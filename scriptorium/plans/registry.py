@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import checks, extraction
+from scriptorium.plans import checks, extraction, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {**extraction.QUERIES, **checks.QUERIES}
+_ALL = {**extraction.QUERIES, **checks.QUERIES, **reports.QUERIES}
 
 
 def queries() -> dict[str, Query]:
