@@ -94,31 +94,9 @@ def repeated_words(words: Column, window: int) -> Column:
 def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     """Whether a line is symbol junk, shouting, navigation, boilerplate or a fragment; a wordless line never fails."""
 
-    def judged(n: Column) -> Column:
-        symbols = F.regexp_count(line, F.lit(SYMBOLS))
-        shouts = F.regexp_count(line, F.lit("!!"))
-        separators = F.regexp_count(line, F.lit(_SEPARATORS))
-        phrases = "(?i)" + "|".join(BOILERPLATE)
-        return (
-            ((n >= 3) & (symbols > n * rules.symbol_share))
-            | ((n >= 3) & (shouts > n * rules.shout_share))
-            | ((separators >= 3) & (separators > n * rules.navigation_share))
-            | ((n <= rules.boilerplate_words) & line.rlike(phrases))
-            | ((n < rules.fragment_words) & ~line.rlike(_TERMINAL))
-        )
-
-    return let(F.size(words_of(line)), lambda n: (n > 0) & judged(n))
-
-
-def judged(docs: DataFrame, rules: LineRules = LineRules(), name: str = "quality") -> DataFrame:
-    """``docs`` plus a struct column ``name``: the measures, base_failed, kept and the cleaned text.
-
-    Defined cases: a null text counts as empty and is rejected (no words); blank lines neither fail nor count; a text
-    of one very long line or of very many lines is judged whole; repeated rows are judged alike; other columns,
-    whatever their names, are carried along, but a column of that name is replaced.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = words_of(text)
+    def verdict_of(text: Column, rules: LineRules = LineRules()) -> Column:
+    """A struct of the measures, base_failed, kept and the cleaned text of a text."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.split(text, "\n")
 
     def measures(w: Column) -> Column:
@@ -139,13 +117,28 @@ def judged(docs: DataFrame, rules: LineRules = LineRules(), name: str = "quality
         fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text")
         return F.struct(*(m[f].alias(f) for f in fields), failed.alias("base_failed"), kept.alias("kept"))
 
-    return docs.withColumn(name, let(let(words, measures), verdict))
+    return let(let(words_of(text), measures), verdict)
+
+
+def judged(docs: DataFrame, rules: LineRules = LineRules(), name: str = "quality") -> DataFrame:
+    """``docs`` plus a struct column ``name``: the measures, base_failed, kept and the cleaned text.
+
+    Defined cases: a null text counts as empty and is rejected (no words); blank lines neither fail nor count; a text
+    of one very long line or of very many lines is judged whole; repeated rows are judged alike; other columns,
+    whatever their names, are carried along, but a column of that name is replaced.
+    """
+    return docs.withColumn(name, verdict_of(F.col("text"), rules))
 
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The kept documents with their failed lines removed and ``n_chars``, if present, brought up to date."""
+    """The kept documents with their failed lines removed and ``n_chars``, if present, brought up to date.
+
+    The verdict is exploded from an array that holds it if the document is kept: a filter on it would be pushed below
+    the projection and compute it a second time.
+    """
     verdict = fresh(docs, "verdict")
-    out = judged(docs, rules, verdict).filter(F.col(f"{verdict}.kept")).withColumn("text", F.col(f"{verdict}.clean_text"))
+    kept = F.filter(F.array(verdict_of(F.col("text"), rules)), lambda v: v["kept"])
+    out = docs.select(*docs.columns, F.explode(kept).alias(verdict)).withColumn("text", F.col(f"{verdict}.clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
