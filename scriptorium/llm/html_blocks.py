@@ -22,7 +22,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^
 _UNENDED = re.compile(r"<[/a-zA-Z!?][^<>]*\Z")  # a tag that the page's end cuts off
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")  # parts of siteFooter, site-footer, SITE_FOOTER
 
 
 @dataclass
@@ -38,7 +38,7 @@ class Block:
 def _name_words(attributes: str) -> frozenset[str]:
     if "=" not in attributes and "hidden" not in attributes.lower():
         return frozenset()
-    words = {w for found in _NAMES.findall(attributes) for w in _WORD.findall("".join(found).lower())}
+    words = {w.lower() for found in _NAMES.findall(attributes) for w in _WORD.findall("".join(found))}
     return frozenset(words | ({"hidden"} if _HIDDEN.search(attributes) else set()))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,9 +20,9 @@ NAME_GROUPS = {
     "comment": "comment comments commentlist reply replies respond disqus discussion reader readers feedback",
     "notice": "notice notices cookie cookies consent gdpr alert alerts popup modal overlay announcement warning disclaimer paywall",
     "menu": "nav navbar navigation menu menus breadcrumb breadcrumbs crumbs toc pagination pager tabs skip",
-    "side": "sidebar side aside widget widgets related recommended recommendations trending popular teaser rail",
+    "side": "sidebar side aside widget widgets related recommended recommendations trending popular teaser rail complementary",
     "head": "header masthead topbar branding logo hero",
-    "foot": "footer bottom copyright colophon legal imprint",
+    "foot": "footer bottom copyright colophon legal imprint contentinfo",
     "form": "form login signup signin subscribe newsletter search contact register",
     "share": "share sharing social follow",
     "main": "content article post entry main body story text maincontent articlebody prose",
@@ -31,11 +32,20 @@ _GROUP_OF = {word: group for group, words in NAME_GROUPS.items() for word in wor
 _TAGS = frozenset("article main nav header footer aside form section ul ol li table figure figcaption blockquote pre button select option label address dialog details summary h1 h2 h3 h4 h5 h6 p div td th dt dd fieldset menu".split())
 
 
+@lru_cache(maxsize=4096)
+def group_of(name: str) -> str | None:
+    """The group of a name word: listed, or a compound that begins or ends with a listed word of five letters or more."""
+    if name in _GROUP_OF:
+        return _GROUP_OF[name]
+    inside = [w for w in _GROUP_OF if len(w) >= 5 and (name.startswith(w) or name.endswith(w))]
+    return _GROUP_OF[max(inside, key=len)] if inside else None
+
+
 def features(block: Block) -> list[str]:
     """The names of the features that hold for a block."""
     out = ["bias", f"own:{next((t for t in reversed(block.tags) if t in _TAGS), 'none')}"]
     out += sorted({f"in:{t}" for t in block.tags if t in _TAGS})
-    out += sorted({f"name:{_GROUP_OF[n]}" for n in block.names if n in _GROUP_OF})
+    out += sorted({f"name:{g}" for n in block.names if (g := group_of(n))})
     words = block.text.count(" ") + 1
     out.append(f"words:{'1' if words == 1 else '2-4' if words < 5 else '5-14' if words < 15 else '15-'}")
     linked = block.link_chars / max(1, len(block.text))

@@ -55,6 +55,12 @@ class _Maker:
                 lambda: f"<div{self.name('ad', 'banner', 'advertisement')}><p>{self.prose(1, 3)}</p></div>",
                 lambda: f"<div{self.name('cookie-notice', 'notice', 'alert', 'consent', 'popup')}><p>{self.prose(1, 2)}</p><button>{self.word()}</button></div>",
                 lambda: f"<form{r.choice(('', self.name('newsletter', 'login', 'search')))}><label>{self.sentence(1, 4)}</label><input name='q'><p>{self.prose(1, 2)}</p><button>{self.word()}</button></form>",
+                lambda: f"<div>{self.links(tag='span')}</div>",
+                lambda: f"<p><a href='/{self.word()}'>{self.sentence(1, 4)}</a></p>",
+                lambda: f"<div{self.name('newsletter', 'signup', 'subscribe', 'login', 'search')}><p>{self.prose(1, 2)}</p></div>",
+                lambda: f"<div{self.name('header', 'masthead', 'topbar')}><p>{self.prose(1, 2)}</p></div>",
+                lambda: f"<div{self.name('share', 'social', 'follow')}><p>{self.prose(1, 2)}</p></div>",
+                lambda: f"<{t}>{self.prose(1, 2)}</{t}>" if (t := r.choice(("nav", "footer", "button", "dialog"))) else "",
                 lambda: f"<div{self.name('share', 'social')}>{self.links(tag='span')}</div>",
                 lambda: f"<div{self.name('popup', 'modal')} hidden><p>{self.prose(1, 2)}</p></div>",
             )
