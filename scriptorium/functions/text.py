@@ -7,13 +7,14 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import constants as K
 from scriptorium.functions.arrow import arrow_function
 
-_EDGES = r"^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+#: White space at the ends of a text, Unicode spaces and separators included.
+EDGES = r"^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
 
 
 def _or_empty(text: Column) -> Column:
@@ -22,7 +23,7 @@ def _or_empty(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """The text without white space at its ends, Unicode spaces included."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.regexp_replace(text, EDGES, "")
 
 
 def normalize_ws(text: Column) -> Column:
@@ -328,6 +329,3 @@ def rgb_of_components(parts: Column) -> Column:
     return F.when(F.size(parts) == 1, struct(at(0), at(0), at(0))).when(F.size(parts) == 3, struct(at(0), at(1), at(2))).when(F.size(parts) == 4, struct(ink(0), ink(1), ink(2)))
 
 
-def register(spark: SparkSession) -> None:
-    """Make the text functions callable from SQL as ``scr_<name>``, as SQL functions where the session allows them."""
-    spark.udf.register("scr_nfkc", nfkc.udf())
