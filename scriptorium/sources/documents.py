@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import constants as K
 from scriptorium.functions.arrow import arrow_function
+from scriptorium.operators import content
 
 BOX = "array<double>"
 SEGMENT = f"struct<id:int,page:int,bbox:{BOX},origin:{BOX},size:double,color:int,bold:boolean,italic:boolean,dir:{BOX},text:string,marker:string,gap:string,core:string,body_dx:double,dots:string,tail:string,passthrough:boolean,occurrence_id:string>"
@@ -197,3 +199,54 @@ def is_authored(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r'"target"\s*:\s*("(?:[^"\\]|\\.)*+")'), F.lit(1))) > 0
 
 
+def pdf_operators(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1: (doc_id, stream, pos, op, operands) of the content streams of PDF files, files spread over the tasks."""
+    streams = read_pdf_files(spark, path).select("doc_id", F.posexplode(content.flate_streams("content")).alias("stream", "s"))
+    return streams.select("doc_id", "stream", F.posexplode(content.operators("s")).alias("pos", "o")).select("doc_id", "stream", "pos", "o.op", "o.operands")
+
+
+def pushbutton_captions(widgets: DataFrame, hidden: bool | None = None) -> DataFrame:
+    """SRC-9: (doc_id, name, caption) of pushbuttons with a caption; ``hidden`` keeps only hidden ones, or only shown."""
+    out = widgets.filter((F.col("flags").bitwiseAND(K.PUSHBUTTON_BIT) != 0) & (F.trim("caption") != ""))
+    if hidden is not None:
+        out = out.filter((F.col("annotation_flags").bitwiseAND(K.HIDDEN_BIT) != 0) == hidden)
+    return out.select("doc_id", "name", F.trim("caption").alias("caption"))
+
+
+def page_geometry(pages: DataFrame) -> DataFrame:
+    """SRC-14: (doc_id, page, media_box, crop_box, rotation, width, height) with the effective box's size as it is seen:
+    sides change places on a quarter turn."""
+    side = lambda i: F.get("crop_box", F.lit(i + 2)) - F.get("crop_box", F.lit(i))
+    turned = F.pmod(F.col("rotation"), F.lit(180)) == 90
+    return pages.select("doc_id", "page", "media_box", "crop_box", "rotation", F.when(turned, side(1)).otherwise(side(0)).alias("width"), F.when(turned, side(0)).otherwise(side(1)).alias("height"))
+
+
+def read_widget_mappings(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-20: (doc_id, field, slot, export, source, target, problem) of widget-text mapping files, discovered by name
+    under ``path``; a file that is no JSON object has one row with a problem."""
+    pair = "struct<source:string,target:string>"
+    entry = f"struct<tooltip:{pair},value:{pair},`default`:{pair},options:array<struct<export:string,source:string,target:string>>>"
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "widget_text*.json").text(path)
+    data = files.select(F.input_file_name().alias("doc_id"), F.from_json("value", f"map<string,{entry}>").alias("m"))
+    bad = data.filter("m is null").select("doc_id", *(F.lit(None).cast("string").alias(c) for c in ("field", "slot", "export", "source", "target")), F.lit("not a JSON object").alias("problem"))
+    e = data.select("doc_id", F.explode("m").alias("field", "e"))
+    slot = lambda s: F.struct(F.lit(s).alias("slot"), F.lit(None).cast("string").alias("export"), F.col(f"e.{s}.source").alias("source"), F.col(f"e.{s}.target").alias("target"))
+    options = F.transform(F.coalesce("e.options", F.array().cast("array<struct<export:string,source:string,target:string>>")), lambda o: F.struct(F.lit("option").alias("slot"), o["export"].alias("export"), o["source"].alias("source"), o["target"].alias("target")))
+    rows = e.select("doc_id", "field", F.explode(F.concat(F.array(*(slot(s) for s in ("tooltip", "value", "default"))), options)).alias("s"))
+    return rows.select("doc_id", "field", "s.*", F.lit(None).cast("string").alias("problem")).filter("source is not null").unionByName(bad)
+
+
+def append_termbase(merged: DataFrame, path: str) -> None:
+    """SNK-6: the added pairs of a termbase merge as a new CSV file of the termbase; conflicts are never written, so
+    appending the same rows again adds nothing."""
+    merged.filter("action = 'added'").orderBy("ord").select(F.col("source").alias("source term"), F.col("target").alias("target term")).coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str, captured_at: str) -> None:
+    """SNK-8: a capture: each table as JSON in a folder of its own, then a manifest that names them. The manifest comes
+    last, so a bundle with one is whole."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").json(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(captured_at, name, ",".join(table.columns)) for name, table in tables.items()]
+    spark.createDataFrame(rows, "captured_at string, name string, columns string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")

@@ -132,3 +132,16 @@ def test_report_of_all_gates(spark):
     }
     assert found == {(g, d): s for g, both in wanted.items() for d, s in zip((1, 2), both) if s}
     assert gates.report({"documents": docs}).collect() == []
+
+
+def test_scaled_runs_and_captures(spark):
+    runs = spark.createDataFrame([(1, 1, "b", 0.9), (1, None, "a", 0.8), (1, 0, "c", 0.5)], "doc_id long, page int, key string, ratio double")
+    assert [r["key"] for r in geometry.scaled_in_order(runs, 2).collect()] == ["a", "c"]
+    s = spark.createDataFrame([(1, 0, 5, "c", 1.0, 2.0, 3.0, 4.0), (1, 0, 4, "c", 0.0, 2.0, 3.0, 4.0)], "doc_id long, page int, id int, core string, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([(1, 1, "b")], "doc_id long, page int, key string")
+    found = {r["key"]: (r["segment"] and r["segment"]["id"], r["boxed"]) for r in geometry.located(runs, s, boxes).collect()}
+    assert found == {"a": (None, False), "b": (None, True), "c": (4, False)}
+    refusals = spark.createDataFrame([(1, "overflow", None, None), (1, "typography", "below-scale-floor", 0.6), (1, "typography", "other", 0.9), (1, "scaled", "", 0.72)], "doc_id long, kind string, reason string, ratio double")
+    assert geometry.captured(refusals, None).count() == 2 and geometry.captured(refusals, 0.75).count() == 3
+    turned = spark.createDataFrame([(1, 0, 0, 1.0, 0.0), (1, 0, 1, 0.0, 1.0)], "doc_id long, page int, id int, dx double, dy double")
+    assert [r["id"] for r in geometry.drawing_order(turned).orderBy("place").collect()] == [1, 0]

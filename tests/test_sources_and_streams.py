@@ -92,3 +92,48 @@ def test_stream_of_pairs(spark, tmp_path):
     stream = jobs.qa_findings(jobs.arriving(spark, str(tmp_path / "pairs"), pairs.schema))
     jobs.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert [r["kind"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["numbers"]
+
+
+def test_operators_of_pdf_files(spark, tmp_path):
+    for name, text in (("a", b"BT (x) Tj ET 1 0 0 rg"), ("b", b"q Q")):
+        (tmp_path / f"{name}.pdf").write_bytes(b"stream\n" + zlib.compress(text) + b"\nendstream")
+    rows = src.pdf_operators(spark, str(tmp_path)).orderBy("doc_id", "pos").collect()
+    assert [r["op"] for r in rows] == ["BT", "Tj", "ET", "rg", "q", "Q"]
+    assert [r["op"] for r in content.stripped_ops(src.pdf_operators(spark, str(tmp_path))).orderBy("doc_id", "pos").collect()] == ["rg", "q", "Q"]
+
+
+def test_buttons_and_pages(spark):
+    button = 1 << 16
+    w = spark.createDataFrame([(1, "a", "Print ", button, 0), (1, "b", "Hide", button, 2), (1, "c", "Text", 0, 0), (1, "d", " ", button, 0)], "doc_id long, name string, caption string, flags int, annotation_flags int")
+    assert {r["name"] for r in src.pushbutton_captions(w).collect()} == {"a", "b"}
+    assert {r["name"] for r in src.pushbutton_captions(w, hidden=True).collect()} == {"b"}
+    p = spark.createDataFrame([(1, 0, [0.0, 0.0, 10.0, 20.0], [1.0, 2.0, 10.0, 20.0], 90)], "doc_id long, page int, media_box array<double>, crop_box array<double>, rotation int")
+    assert [(r["width"], r["height"]) for r in src.page_geometry(p).collect()] == [(18.0, 9.0)]
+
+
+def test_widget_mappings(spark, tmp_path):
+    entry = {"name": {"tooltip": {"source": "Name", "target": None}, "options": [{"export": "a", "source": "A", "target": "B"}]}}
+    (tmp_path / "widget_text.json").write_text(json.dumps(entry))
+    (tmp_path / "widget_text_2.json").write_text("[1]")
+    (tmp_path / "other.json").write_text("{}")
+    rows = {(r["field"], r["slot"], r["export"], r["source"], r["target"], r["problem"]) for r in src.read_widget_mappings(spark, str(tmp_path)).collect()}
+    assert rows == {("name", "tooltip", None, "Name", None, None), ("name", "option", "a", "A", "B", None), (None, None, None, None, None, "not a JSON object")}
+
+
+def test_termbase_grows_once(spark, tmp_path):
+    from scriptorium.operators import review
+
+    path = str(tmp_path / "terms")
+    rows = spark.createDataFrame([("rent", "Miete", 0), ("rent", "Zins", 1), ("land", "Land", 2)], "source string, target string, ord long")
+    empty = spark.createDataFrame([], "source string, target string, ord long")
+    src.append_termbase(review.termbase_merge(empty, rows), path)
+    again = src.read_termbase(spark, f"{path}/*.csv")
+    assert {(r["source"], r["target"]) for r in again.collect()} == {("rent", "Miete"), ("land", "Land")}
+    assert review.termbase_merge(again, rows).filter("action = 'added'").count() == 0
+    assert review.termbase_merge(again, rows).filter("action = 'conflict'").count() == 1
+
+
+def test_bundles(spark, tmp_path):
+    src.write_bundle({"runs": spark.createDataFrame([("a", 0.5)], "key string, ratio double")}, str(tmp_path / "b"), "2024-01-01T00:00:00Z")
+    assert spark.read.json(str(tmp_path / "b" / "manifest")).first()["name"] == "runs"
+    assert spark.read.json(str(tmp_path / "b" / "runs")).first()["ratio"] == 0.5
