@@ -75,7 +75,9 @@ def script_runs(texts: DataFrame, script: str = "Latin", allow: list[str] | None
     chunk = F.explode(_chunks(F.col("text"), script)).alias("chunk")
     words = F.filter(F.split(F.col("chunk"), r"\s+"), lambda w: w != "")
     listed = texts.select("doc_id", chunk).select("doc_id", words.alias("words")).filter(F.size("words") > 0)
-    counted = F.size(F.filter("words", lambda w: ~F.array_contains(allowed, F.lower(w))))
+    # hyphens join a token, but its parts are counted
+    parts = F.regexp_extract_all(F.array_join("words", " "), F.lit("[A-Za-z']+" if script == "Latin" else f"{S.letters_of(script)}+"), F.lit(0))
+    counted = F.size(F.filter(parts, lambda w: ~F.array_contains(allowed, F.lower(w))))
     long = listed.filter(F.size("words") >= 3).filter(counted >= 3)
     running = long.select("doc_id", F.array_join("words", " ").alias("run"), F.size("words").alias("n_words"), F.lit("running").alias("bucket"))
     short = listed.filter(F.size("words") < 3).select("doc_id", F.explode("words").alias("run"))

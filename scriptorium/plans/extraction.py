@@ -70,6 +70,14 @@ def narrow_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "width")
 
 
+NARROW_COLUMNS = f"""WITH RECURSIVE {B.SQL_SEGMENTS}, s AS (SELECT doc_id, page, id, x0, y0, 5.0 * length(substr(core, 1, 12)) AS w, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, y0, id) AS rn
+  FROM segments WHERE NOT passthrough), f AS (
+  SELECT doc_id, page, rn, id, w, x0 AS hx, y0 AS ly, 1 AS run FROM s WHERE rn = 1 UNION ALL
+  SELECT s.doc_id, s.page, s.rn, s.id, s.w, CASE WHEN abs(s.x0 - hx) < 4 AND s.y0 - ly > 0.5 AND s.y0 - ly < 22 THEN hx ELSE s.x0 END, s.y0, CASE WHEN abs(s.x0 - hx) < 4 AND s.y0 - ly > 0.5 AND s.y0 - ly < 22 THEN run ELSE run + 1 END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.page = f.page AND s.rn = f.rn + 1)
+SELECT doc_id, page, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS ids, CAST(round_even(max(w), 2) AS DOUBLE) AS width FROM f GROUP BY doc_id, page, run HAVING count(*) >= 3"""
+
+
 def right_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = B.segments(spark, sf_dir).withColumn("x0", F.col("x0") + 20 * (F.col("id") % 4)).withColumn("x1", F.lit(300.0) + 30 * (F.col("id") % 3))
     rules = s.filter("id % 2 = 0").select("doc_id", "page", (F.col("x1") + 2).alias("x"), F.col("y0").alias("top"), F.col("y1").alias("bottom"))
@@ -249,7 +257,7 @@ QUERIES = {
     "segment_parts": (segment_parts, SEGMENT_PARTS),
     "write_find_say": (write_find_say, WRITE_FIND_SAY),
     "merge_candidates": (merge_candidates, MERGE_CANDIDATES),
-    "narrow_columns": (narrow_columns, None),
+    "narrow_columns": (narrow_columns, NARROW_COLUMNS),
     "right_aligned": (right_aligned, RIGHT_ALIGNED),
     "gap_groups": (gap_groups, GAP_GROUPS),
     "script_profile": (script_profile, SCRIPT_PROFILE),

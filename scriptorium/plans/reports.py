@@ -95,6 +95,13 @@ def script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"))
 
 
+_RUN = "[A-Za-z][A-Za-z''\\-]*(?:\\s+[A-Za-z][A-Za-z''\\-]*){2,}"
+SCRIPT_RUNS = f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_RUN}')) AS run FROM documents),
+k AS (SELECT doc_id, 'running' AS bucket, len(regexp_extract_all(run, '[A-Za-z][A-Za-z''\\-]*')) AS w FROM r WHERE len(list_filter(regexp_extract_all(run, '[A-Za-z'']+'), lambda x: lower(x) NOT IN ('the', 'und'))) >= 3
+  UNION ALL SELECT doc_id, 'isolated', 1 FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '{_RUN}', ' ', 'g'), '[A-Za-z][A-Za-z''\\-]{{3,}}')) AS word FROM documents) WHERE lower(word) NOT IN ('the', 'und'))
+SELECT doc_id, bucket, count(*) AS n, CAST(sum(w) AS BIGINT) AS n_words FROM k GROUP BY ALL"""
+
+
 def kinsoku_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as lines of Chinese or Japanese text: some begin or end with what may not stand there."""
     lines = B.segments(spark, sf_dir).filter("doc_id % 4 = 0").withColumnRenamed("id", "line_no")
@@ -135,7 +142,7 @@ QUERIES = {
     "notices": (notices, NOTICES),
     "united_lists": (united_lists, UNITED_LISTS),
     "merge_proposals": (merge_proposals, MERGE_PROPOSALS),
-    "script_runs": (script_runs, None),
+    "script_runs": (script_runs, SCRIPT_RUNS),
     "kinsoku_lines": (kinsoku_lines, None),
     "gate_report": (gate_report, GATE_REPORT),
 }
