@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import bpe, mixing, pii, quality_rules, simhash_dedup
-from scriptorium.llm.lineage import shared_folder
+from scriptorium.llm.lineage import discard, shared_folder
 from scriptorium.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -59,11 +59,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to a folder of its own in the shared place and read again."""
+    """All stages over ``documents``, each written to a folder of its own in the shared place and read again.
+
+    A stage's folder is deleted once the next one is written, so two stages' tables exist at most; the last stays, as
+    the result reads it.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        before = path
     return docs

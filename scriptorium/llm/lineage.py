@@ -35,3 +35,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for written tables that driver and executors share: the checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
