@@ -117,9 +117,9 @@ def test_random_spans(spark):
 
 
 def test_checksums_and_context(spark):
-    texts = ["IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE88 3704 0044 0532 0130 00 ok", "SSN 123-45-6789", "part 123-45-6789", "SSN 000-45-6789", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "hash 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE88 3704 0044 0532 0130 00 ok", "IBAN FR14 2004 1010 0505 0001 3M02 606 OK 12", "xDE89370400440532013000x", "SSN 123-45-6789", "SSN 1123-45-6789", "SSN 123-45-6789-1", "part 123-45-6789", "SSN 000-45-6789", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "hash 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
     kinds = [[s["kind"] for s in row["pii_spans"] if s["kind"] in ("iban", "ssn", "secret")] for row in pii.with_spans(frame(spark, texts)).orderBy("doc_id").collect()]
-    assert kinds == [["iban"], [], ["ssn"], [], [], ["secret"], []]
+    assert kinds == [["iban"], [], ["iban"], ["iban"], ["ssn"], [], [], [], [], ["secret"], []]
 
 
 def test_redaction(spark):
