@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 BITS = 128
 #: Documents dealt to a task, and the most tasks they are dealt to.
 ROWS_A_TASK = 4_000
-MOST_TASKS = 4_096
+MOST_TASKS = 1 << 16
+#: Starts of ranges are searched in two steps, of so many each.
+_STEP = 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CHUNK = 1 << 15
 _LONGEST = 12
@@ -74,6 +76,14 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint binary")
 
 
+def _range_of(key: Column, starts: list[int]) -> Column:
+    """The number of the last start that is not above the key; keys below all starts are in the first range."""
+    every = F.lit(starts)
+    block = F.greatest(F.size(F.filter(F.lit(starts[::_STEP]), lambda s: s <= key)) - 1, F.lit(0))
+    inside = F.size(F.filter(F.slice(every, block * _STEP + 1, F.lit(_STEP)), lambda s: s <= key))
+    return F.greatest(block * _STEP + inside - 1, F.lit(0))
+
+
 def in_id_order(docs: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """(range, ahead, key, doc_id, text): rows dealt to ranges of doc_id and sorted in them, each followed by the first
     rows of the next range (of the first range after the last), which are marked ``ahead``."""
@@ -82,15 +92,13 @@ def in_id_order(docs: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     rows = docs.count()
     tasks = max(1, min(MOST_TASKS, -(-rows // rows_a_task)))
     shares = [i / tasks for i in range(1, tasks)]
-    quantiles = F.percentile_approx("key", shares, 10_000) if shares else F.array().cast("array<bigint>")
+    quantiles = F.percentile_approx("key", shares, max(10_000, 4 * tasks)) if shares else F.array().cast("array<bigint>")
     at = docs.select(key.alias("key")).agg(F.min("key").alias("least"), quantiles.alias("cuts")).first()
     starts = sorted({at["least"], *(at["cuts"] or [])} - {None}) or [_FIRST]
-    first_of = F.lit(starts)
-    number = F.greatest(F.size(F.filter(first_of, lambda s: s <= F.col("key"))) - 1, F.lit(0))
-    ranged = keyed.withColumn("range", number)
+    ranged = keyed.withColumn("range", _range_of(F.col("key"), starts))
     here = F.struct(F.col("range").alias("range"), F.lit(False).alias("ahead"))
     before = F.struct(F.pmod(F.col("range") - 1, F.lit(len(starts))).cast("int").alias("range"), F.lit(True).alias("ahead"))
-    places = F.when(F.array_contains(first_of, F.col("key")), F.array(here, before)).otherwise(F.array(here))
+    places = F.when(F.get(F.lit(starts), F.col("range")) == F.col("key"), F.array(here, before)).otherwise(F.array(here))
     dealt = ranged.withColumn("place", F.explode(places)).select("place.range", "place.ahead", "key", "doc_id", "text")
     return dealt.repartitionById(len(starts), F.col("range")).sortWithinPartitions("range", "ahead", "key", "text")
 

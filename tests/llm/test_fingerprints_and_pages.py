@@ -33,8 +33,9 @@ def test_fingerprint_query(spark, smallest):
     assert better > 0.95 * len(docs)
 
 
-@pytest.mark.parametrize("rows_a_task", [1, 3, 1000])
-def test_neighbours_in_any_number_of_ranges(spark, rows_a_task):
+@pytest.mark.parametrize(("rows_a_task", "step"), [(1, 256), (1, 4), (3, 256), (1000, 256)])
+def test_neighbours_in_any_number_of_ranges(spark, monkeypatch, rows_a_task, step):
+    monkeypatch.setattr(fingerprints, "_STEP", step)
     r = random.Random(4)
     rows = [(i, f"text {i} " + "w " * r.randrange(5), 1, "x") for i in r.sample(range(1000), 25)] + [(500_000, None, 1, "x"), (7_000, "", 1, "x"), (None, "nameless", 1, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, range int, key string").repartition(4)
