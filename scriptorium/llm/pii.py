@@ -28,7 +28,7 @@ THRESHOLD = 0.7
 @dataclass(frozen=True)
 class Kind:
     """One kind of personal data: pattern, validator name, score with a passed validator, context words, a class of
-    characters that may not touch a span, base or not."""
+    characters that may not touch a span, base or not, and a string that every match has, which is looked for first."""
 
     name: str
     pattern: str
@@ -37,6 +37,7 @@ class Kind:
     context: str = ""
     edge: str = ""
     base: bool = False
+    needs: str = ""
 
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -48,13 +49,13 @@ IBAN_LENGTHS = {
 IBAN = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}" for size, names in IBAN_LENGTHS.items())
 #: Kinds in the order in which spans that start together are listed. The first four always count once valid.
 KINDS = (
-    Kind("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", base=True),
+    Kind("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", base=True, needs="@"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "octets", base=True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){13,}+", "card", base=True),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "phone", base=True),
-    Kind("iban", IBAN, "iban", 0.9, "(?i)iban|account|konto|compte|cuenta"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "phone", base=True, needs="+"),
+    Kind("iban", f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})", "iban", 0.9, "(?i)iban|account|konto|compte|cuenta"),
     Kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "ssn", 0.45, "(?i)ssn|social security|tax id", "[0-9-]"),
-    Kind("secret", "[A-Za-z0-9+/_-]{32,}+", "mixed", 0.45, "(?i)(?:token|secret|api[ _-]?key|password|passwd)[\"']?\\s*[:=]\\s*[\"']?$"),
+    Kind("secret", "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+", "mixed", 0.45, "(?i)(?:token|secret|api[ _-]?key|password|passwd)[\"']?\\s*[:=]\\s*[\"']?$"),
 )
 _LEAST_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -125,7 +126,8 @@ def _spans_of(text: Column, ordinal: int, kind: Kind) -> Column:
         return F.filter(spans, lambda x: x["score"] >= THRESHOLD).cast(_SPANS)
 
     pieces, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    return F.when(text.rlike(kind.pattern), let(pieces, lambda p: let(matches, lambda m: scored(placed(p, m))))).otherwise(none)
+    there = F.contains(text, F.lit(kind.needs)) & text.rlike(kind.pattern) if kind.needs else text.rlike(kind.pattern)
+    return F.when(there, let(pieces, lambda p: let(matches, lambda m: scored(placed(p, m))))).otherwise(none)
 
 
 def with_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, name: str = "pii_spans") -> DataFrame:
