@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: shuffle salted for the hot ones. Both ways give the same rows.
 BROADCAST_SOURCES = 100_000
 _SALTS = 32
+#: Up to this mean exp(-mean) is well inside the doubles; above it the distribution is summed around its mean.
+DIRECT_RATE = 400
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -47,31 +49,44 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     return aimed.select("source", "n_docs", (F.col("aim") * F.lit(scale) / F.col("n_docs")).alias("rate"))
 
 
-def poisson_steps(rate: Column, most: int = 400) -> Column:
-    """The distribution function of Poisson(rate) at 0, 1, 2, ... until far beyond any drawn number.
+def first_step(rate: Column) -> Column:
+    """The smallest number that a draw of 52 bits can reach: zero, or twelve deviations below a large mean."""
+    low = F.floor(rate - F.lit(12.0) * F.sqrt(rate) - F.lit(24.0))
+    return F.when(rate > DIRECT_RATE, low).otherwise(F.lit(0)).cast("int")
 
-    The terms follow p(k) = p(k-1) * rate / k; exp(-rate) stays above the smallest double up to rate ``most``.
+
+def poisson_steps(rate: Column) -> Column:
+    """The distribution function of Poisson(rate) at first_step, and on until far beyond any drawn number.
+
+    The terms follow p(k) = p(k-1) * rate / k. Up to DIRECT_RATE they start from p(0) = exp(-rate). Above, where that
+    leaves the doubles' range, they start from one at first_step and are divided by their sum: what lies below or
+    beyond weighs less than exp(-70), far under the 2 ** -53 of the smallest draw.
     """
     last = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(24.0)).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps"))
+    first = first_step(rate)
+    p0 = F.when(rate > DIRECT_RATE, F.lit(1.0)).otherwise(F.exp(-rate))
+    start = F.struct(p0.alias("p"), p0.alias("sum"), F.array(p0).alias("steps"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), F.concat(acc["steps"], F.array(acc["sum"] + p)).alias("steps"))
 
-    steps = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["steps"])
-    return F.when(rate > most, F.raise_error(F.lit(f"a repetition rate above {most}"))).otherwise(steps)
+    def finish(acc: Column) -> Column:
+        scaled = F.transform(acc["steps"], lambda x: x / acc["sum"])
+        return F.when(rate > DIRECT_RATE, scaled).otherwise(acc["steps"])
+
+    return F.aggregate(F.sequence(first + 1, last), start, step, finish)
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: float = 1.0, seed: int = 1, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """``docs`` (with doc_id, source) replicated to the target mix and shuffled globally, plus a column ``copy_no``.
 
     Defined cases: repeated rows are drawn alike, each by itself; null ids share one draw; a document drawn zero times
-    leaves the mix; a source of weight zero leaves it altogether; a column named copy_no is replaced; an empty table
-    gives an empty mix.
+    leaves the mix; a source of weight zero leaves it altogether; a column named copy_no is replaced; a source may be
+    repeated any number of times a document; an empty table gives an empty mix.
     """
     columns = [c for c in docs.columns if c != "copy_no"]
-    tables = source_rates(docs, weights, temperature, size).select(F.col("source").alias("__mix_source"), poisson_steps(F.col("rate")).alias("__mix_steps"))
+    tables = source_rates(docs, weights, temperature, size).select(F.col("source").alias("__mix_source"), first_step(F.col("rate")).alias("__mix_first"), poisson_steps(F.col("rate")).alias("__mix_steps"))
     same = F.col("source").eqNullSafe(F.col("__mix_source"))
     if tables.limit(broadcast_sources + 1).count() <= broadcast_sources:
         joined = docs.select(columns).join(F.broadcast(tables), same)
@@ -80,7 +95,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         dealt = docs.select(columns).withColumn("__mix_deal", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
         joined = dealt.join(salted, same & (F.col("__mix_deal") == F.col("__mix_salt"))).drop("__mix_deal", "__mix_salt")
     draw = uniform(seed, F.col("doc_id"))
-    copies = F.size(F.filter("__mix_steps", lambda step: step < draw))
+    copies = F.col("__mix_first") + F.size(F.filter("__mix_steps", lambda step: step < draw))
     counted = joined.withColumn("__mix_copies", copies).filter("__mix_copies > 0")
     exploded = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("copy_no"))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy_no"))

@@ -1,5 +1,7 @@
 """URL rules, chat snapshots and source mixing against plain Python and SQL."""
 
+import hashlib
+import math
 import re
 from collections import Counter
 
@@ -119,3 +121,31 @@ def test_placement_ignores_the_source(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 15_000, "hot").otherwise("cold").alias("source"))
     sizes = [r["count"] for r in mixing.mixed(df, {"hot": 1.0, "cold": 1.0}).groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 1.2 * min(sizes)
+
+
+@pytest.mark.parametrize("rate", [399.0, 401.0, 428.3, 5000.0, 60_000.0])
+def test_large_rates_are_drawn_exactly(spark, rate):
+    """Copies of a source against the distribution function summed from logarithms, from zero on."""
+    df = spark.createDataFrame([(i, "rare" if i < 20 else "common") for i in range(1000)], "doc_id long, source string")
+    size = rate * 20 / 1000
+    found = mixing.mixed(df, {"rare": 1.0}, size=size).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("copy_no").alias("last")).collect()
+    wanted = {}
+    for i in range(20):
+        u = (int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, total = 0, math.exp(-rate)
+        while total < u:
+            k += 1
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        wanted[i] = k
+    assert {r["doc_id"]: r["n"] for r in found} == {r["doc_id"]: r["last"] for r in found} == wanted
+
+
+def test_skewed_sources_pass_the_old_limit(spark):
+    """The finding's table in small: the default weights give a single document's source a rate of over 400."""
+    counts = [1] + [100_000] * 18 + [900_000]
+    df = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("s"))
+    docs = df.select(F.col("s").cast("string").alias("source"), F.explode(F.sequence(F.lit(1), F.element_at(F.array(*map(F.lit, counts)), F.col("s") + 1))).alias("doc_id"))
+    rates = mixing.source_rates(docs)
+    assert max(r["rate"] for r in rates.collect()) > 400
+    row = rates.filter("source = '0'").select("rate", mixing.first_step(F.col("rate")).alias("first"), mixing.poisson_steps(F.col("rate")).alias("steps")).first()
+    assert row["first"] > 0 and abs(row["steps"][-1] - 1) < 1e-12 and row["steps"] == sorted(row["steps"])
