@@ -147,9 +147,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     empty table gives an empty result; columns beyond the two named are ignored, whatever their names.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, words))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = component_roots(hamming_links(distinct, radius))
-    classes = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    # links name fingerprints, which are never null; ids come in afterwards, as some fingerprints have none
+    named = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = component_roots(hamming_links(named.select("fp", F.col("fp").alias("rep")), radius))
+    rooted = named.join(roots, named["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = roots.select(F.col("root").alias("fp")).distinct()
+    least = rooted.join(linked, rooted["root"] == linked["fp"], "left_semi").groupBy("root").agg(F.min("least").alias("of_class"))
+    classes = rooted.join(least, "root", "left").select("fp", F.coalesce("of_class", "least").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 

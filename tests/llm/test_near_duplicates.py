@@ -79,3 +79,25 @@ def test_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 7, 20]
     assert kept.filter("doc_id is null").count() == 2
     assert sd.near_duplicate_classes(docs.limit(0)).collect() == []
+
+
+def _with_prints(monkeypatch, prints):
+    """near_duplicate_classes over rows (doc_id, fp) whose fingerprints are given."""
+    monkeypatch.setattr(sd, "fingerprints", lambda docs, *_: docs.select("doc_id", "fp"))
+    return sorted((str(r["doc_id"]), r["fp"], r["component_id"]) for r in sd.near_duplicate_classes(prints).collect())
+
+
+def test_links_through_rows_without_id(spark, monkeypatch):
+    """7 and 15 are linked only through a row without an id; so are three fingerprints that meet at one place."""
+    big = (1 << 53) + 1
+    rows = [(15, 0), (None, 0b111), (7, 0b111111), (big, 1 << 40), (None, (1 << 40) | 1), (big + 2, (1 << 40) | 2), (None, 0x0F0F0F0F0F0F0F0F)]
+    found = _with_prints(monkeypatch, spark.createDataFrame(rows, "doc_id long, fp long"))
+    # 1 << 40 is one bit from zero, so the two families are one class; the last row is alone and has no name
+    assert found == sorted((str(i), fp, None if fp == 0x0F0F0F0F0F0F0F0F else 7) for i, fp in rows)
+
+
+def test_ids_above_doubles_beside_a_row_without_id(spark, monkeypatch):
+    big = (1 << 53) + 1
+    rows = [(big, 0), (None, 1), (big + 2, 3), (big + 4, 7)]
+    found = _with_prints(monkeypatch, spark.createDataFrame(rows, "doc_id long, fp long"))
+    assert found == sorted((str(i), fp, big) for i, fp in rows)
