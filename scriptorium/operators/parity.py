@@ -108,23 +108,29 @@ def missing_targets(page_text: DataFrame, targets: DataFrame) -> DataFrame:
 def occurrences(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """Which phrases (item_id, text) stand verbatim in which texts (doc_id, text): (item_id, doc_id).
 
-    Phrases and texts meet on the phrase's first eight words, hashed; the whole containment is tested then. Phrases of
-    fewer words meet on as many as they have, each length for itself, so every phrase is found, wherever it starts in
-    a text at a word's beginning.
+    A phrase may start and end inside a word of the text, after a bracket or before a comma, but the words between its
+    first and last are whole there: phrases and texts meet on up to eight of these, hashed. A phrase of one or two
+    words has none and meets the texts on its first eight characters, or as many as it has. The whole containment is
+    tested then, so every phrase is found wherever it stands.
     """
     words = lambda c: F.split(F.btrim(F.regexp_replace(c, r"\s+", " ")), " ")
-    listed = phrases.select("item_id", F.col("text").alias("phrase"), words(F.col("text")).alias("w")).withColumn("n", F.least(F.lit(8), F.size("w")))
-    keyed = listed.withColumn("key", F.xxhash64(F.col("n"), F.array_join(F.slice("w", 1, F.col("n")), " ")))
-    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # at most eight numbers
+    chars = lambda c: F.split(c, "")
+    listed = phrases.filter("text is not null").select("item_id", F.col("text").alias("phrase"), words(F.col("text")).alias("w"))
+    inner = listed.filter(F.size("w") > 2).select("item_id", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))).alias("parts"), F.lit(" ").alias("by"))
+    brief = listed.filter(F.size("w") <= 2).select("item_id", F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(chars(F.col("phrase"))).alias("parts"), F.lit("").alias("by"))
+    cut = inner.unionByName(brief).withColumn("n", F.least(F.lit(8), F.size("parts")))
+    keyed = cut.select("item_id", "by", "n", F.xxhash64("by", "n", F.array_join(F.slice("parts", 1, F.col("n")), "\x00")).alias("key"))
+    sizes = sorted((r["by"], r["n"]) for r in keyed.select("by", "n").distinct().collect())  # at most 17 pairs
     if not sizes:
         return phrases.select("item_id").limit(0).join(texts.select("doc_id").limit(0), F.lit(True))
-    starts = texts.select("doc_id", "text", words(F.col("text")).alias("w"))
+    starts = texts.filter("text is not null").select("doc_id", words(F.col("text")).alias("w"), chars(F.col("text")).alias("c"))
 
-    def grams_of(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-        return F.transform(places, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, n), " ")))
+    def grams_of(by: str, n: int) -> Column:
+        parts = F.col("w" if by else "c")
+        places = F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))) if n else F.array(F.lit(1))
+        return F.transform(places, lambda i: F.xxhash64(F.lit(by), F.lit(n), F.array_join(F.slice(parts, i, n), "\x00")))
 
-    grams = F.flatten(F.array(*(grams_of(n) for n in sizes)))
+    grams = F.flatten(F.array(*(grams_of(by, n) for by, n in sizes)))
     met = starts.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
     return met.join(texts.select("doc_id", "text"), "doc_id").join(listed.select("item_id", "phrase"), "item_id").filter(F.contains(F.col("text"), F.col("phrase"))).select("item_id", "doc_id")
 

@@ -301,3 +301,13 @@ def test_hypot_of_unit_direction(spark):
 
     row = spark.range(1).select(T.unit_direction(F.lit(3.0), F.lit(4.0))).first()[0]
     assert np.isclose(row["x"], 0.6) and np.isclose(row["y"], 0.8)
+
+
+def test_occurrences_inside_words_and_punctuation(spark):
+    """Passages in quotes and brackets, before commas, inside words, short and empty ones, against plain containment."""
+    phrases = ["one two three four", "alpha beta", "word", "a", "", "x  y\tz", "it ends here.", "é𝔘", "one two three four five six seven eight nine ten", "absent phrase stands nowhere", " lead", None]
+    texts = ['He said "one two three four", then left.', "(one two three four)", "alphabeta (alpha beta)", "swordfish", "", "x  y\tz!", "x y z", "now it ends here.\"", "caféé𝔘n", "-one two three four five six seven eight nine ten,", "mis lead", None]
+    p = spark.createDataFrame(list(enumerate(phrases)), "item_id int, text string")
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    wanted = sorted((i, d) for i, x in enumerate(phrases) for d, y in enumerate(texts) if x is not None and y is not None and x in y)
+    assert sorted(map(tuple, parity.occurrences(t, p).collect())) == wanted
