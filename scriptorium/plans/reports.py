@@ -104,7 +104,7 @@ SELECT doc_id, bucket, count(*) AS n, CAST(sum(w) AS BIGINT) AS n_words FROM k G
 
 def kinsoku_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as lines of Chinese or Japanese text: some begin or end with what may not stand there."""
-    lines = B.segments(spark, sf_dir).filter("doc_id % 4 = 0").withColumnRenamed("id", "line_no")
+    lines = B.segments(spark, sf_dir).withColumnRenamed("id", "line_no")
     text = F.concat(F.when(F.col("line_no") % 3 == 1, F.lit("。")).otherwise(F.lit("")), F.lit("文"), F.col("text"), F.when(F.col("line_no") % 5 == 0, F.lit("「")).otherwise(F.lit("")))
     return layout.kinsoku(layout.stacks(lines.withColumn("text", text)))
 

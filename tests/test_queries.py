@@ -46,3 +46,8 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 100
+
+
+def test_kinsoku_reads_all_documents(spark, smallest):
+    found = {r["doc_id"] % 4 for r in registry.queries()["kinsoku_lines"](spark, smallest).select("doc_id").distinct().collect()}
+    assert found == {0, 1, 2, 3}
