@@ -2,7 +2,7 @@
 
 Each round regroups the edges around the smallest neighbour, so trees flatten in a logarithmic number of rounds and
 no node's neighbourhood is ever collected: both stars are one partial aggregate (the smallest neighbour) and one
-join whose large partitions the adaptive planner may split.
+join whose large partitions the adaptive planner may split. A round is a written table; the one before it is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.lineage import checkpointed
+from scriptorium.llm.lineage import discard_since, mark, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,15 +35,18 @@ def component_roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node with an edge in ``edges`` (columns u, v of an orderable type).
 
     root is the smallest node reachable; the smallest node itself has no row. Self-loops, repeated and reversed edges
-    and null ends are allowed and change nothing. An empty input gives an empty result.
+    and null ends are allowed and change nothing. An empty input gives an empty result. The result reads one table in
+    the shared folder.
     """
+    place = mark()
     clean = edges.filter("u is not null and v is not null and u <> v")
-    current = checkpointed(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    current = written(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _signature(current)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        current = checkpointed(_small_star(_large_star(current)))
+        current = written(_small_star(_large_star(current)))
+        discard_since(edges.sparkSession, place, keep=1)
         after = _signature(current)
         if after == before:
             break

@@ -1,8 +1,8 @@
-"""Helpers for expressions that stay inside the JVM."""
+"""Helpers for expressions that stay inside the JVM, and for column names of any kind."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,3 +32,20 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def quoted(name: str) -> str:
+    """A column name as it must be written where it may hold dots or backticks."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def columns_of(df: DataFrame, without: Iterable[str] = ()) -> list[Column]:
+    """The columns of ``df`` whatever their names, but for those named in ``without`` (without regard to case)."""
+    left_out = {w.lower() for w in without}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in left_out]
+
+
+def with_text(df: DataFrame, text: Column) -> list[Column]:
+    """The columns of ``df`` with ``text`` in place of its text and, if there is one, n_chars brought up to date."""
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return [changed[c.lower()].alias(c) if c.lower() in changed else F.col(quoted(c)) for c in df.columns]

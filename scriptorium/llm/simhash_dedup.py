@@ -10,10 +10,14 @@ it is enough that the one with the zero bit looks up the other, so only zero bit
 average. Fingerprints that meet at a table value are compared over all 64 bits.
 
 Scale. Copies collapse to one distinct fingerprint by a partial aggregate before anything else. 32-bit segments keep
-chance meetings rare up to billions of fingerprints. Where many distinct fingerprints meet at one value (a family of
-near copies) no pairs are emitted: the meeting place's fingerprints are searched breadth first and only a spanning
-forest of the true links leaves it, which has the same components. A meeting place above ``block_rows`` is cut into
-blocks, and every pair of blocks is searched by itself, so no task holds more than two blocks.
+chance meetings rare up to billions of fingerprints. Where distinct fingerprints meet at one value no pairs are
+emitted: the meeting place's fingerprints are searched breadth first and only a spanning forest of the true links
+leaves it, which has the same components. A meeting place above ``block_rows`` (a family of near copies) is split once
+more, by balls around the 16-bit halves of the other segment, of which one differs in at most one bit; what is still
+above it is cut into blocks, and every pair of blocks is searched by itself, so no task holds more than two blocks.
+
+The contract of the registered query fixes three words and three bits. A likeness of 0.8 lies far beyond three bits;
+for that see ``near_copies``.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import component_roots
-from scriptorium.llm.lineage import checkpointed
+from scriptorium.llm.lineage import written
+from scriptorium.llm.native import quoted
 
 SEED = 42
 SEGMENT_BITS = 32
@@ -36,9 +41,10 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CHUNK = 1 << 16
 
 
-def word_shingles(text: str | None, words: int) -> list[bytes]:
+def word_shingles(text: str | bytes | None, words: int) -> list[bytes]:
     """All shingles of ``words`` lower-cased (A-Z) words, repeats included; the whole sequence if it is shorter."""
-    tokens = (text or "").encode().translate(_LOWER).split()
+    raw = text if isinstance(text, bytes) else (text or "").encode()
+    tokens = raw.translate(_LOWER).split()
     if len(tokens) <= words:
         return [b" ".join(tokens)] if tokens else []
     return list(map(b" ".join, zip(*(tokens[i:] for i in range(words)))))
@@ -59,7 +65,8 @@ def simhash64(shingles: list[bytes]) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp) for every row of ``docs``; fp is the fingerprint as a signed long.
 
-    A null or wordless text has fingerprint zero. Other columns are not read.
+    A null or wordless text has fingerprint zero. Other columns are not read. Texts are taken as bytes, so invalid
+    UTF-8 is hashed as it stands; votes are summed in portions, so a text of any length takes bounded memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,21 +74,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter((simhash64(word_shingles(t.as_py(), words)) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("binary").alias("text"))
     return wanted.mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among the fingerprints of one meeting place, found breadth first."""
+def spanning_forest(fps: np.ndarray, names: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links among the fingerprints (rows of 64-bit words) of one meeting place."""
     left = np.arange(len(fps))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             node = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[node]) <= radius
+            near = np.bitwise_count(fps[left] ^ fps[node]).sum(axis=1, dtype=np.int64) <= radius
             hits, left = left[near], left[~near]
             for hit in hits.tolist():
-                yield int(reps[node]), int(reps[hit])
+                yield int(names[node]), int(names[hit])
             queue.extend(hits.tolist())
 
 
@@ -96,7 +103,7 @@ def _forests(radius: int):
                     x, y = a[0].as_py(), a[1].as_py()
                     pairs = [(b[0].as_py(), b[1].as_py())] if ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius else []
                 else:
-                    pairs = _forest(a.to_numpy(zero_copy_only=False).view(np.uint64), b.to_numpy(zero_copy_only=False), radius)
+                    pairs = spanning_forest(a.to_numpy(zero_copy_only=False).view(np.uint64)[:, None], b.to_numpy(zero_copy_only=False), radius)
                 for u, v in pairs:
                     us.append(u)
                     vs.append(v)
@@ -109,6 +116,23 @@ def _segment(number: int):
     return f"(shiftrightunsigned(fp, {number * SEGMENT_BITS}) & 4294967295L)"
 
 
+def _upward_ball(value: str, bits: int) -> str:
+    """SQL for the value and all values that differ from it by one bit which is zero in it."""
+    return f"concat(array({value}), transform(filter(sequence(0, {bits - 1}), b -> shiftright({value}, b) & 1L = 0), b -> {value} | shiftleft(1L, b)))"
+
+
+def in_blocks(places: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """One row for each pair of blocks of each meeting place: the keys and ``members``, a list of (fp, rep).
+
+    ``places`` has the keys, fp, rep and n, the rows of the place. Up to block_rows a place is one block.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    pairs = F.expr("transform(sequence(0, blocks - 1), other -> struct(least(own, other) as i, greatest(own, other) as j))")
+    dealt = places.withColumn("blocks", blocks).withColumn("own", own).select(*keys, "fp", "rep", F.explode(pairs).alias("pair"))
+    return dealt.groupBy(*keys, "pair").agg(F.collect_list(F.struct("fp", "rep")).alias("members")).filter(F.size("members") > 1)
+
+
 def hamming_links(distinct: DataFrame, radius: int = 3, block_rows: int = 20_000) -> DataFrame:
     """Links (u, v) with the same components as all pairs of ``distinct`` (fp, rep) within ``radius`` bits.
 
@@ -116,26 +140,21 @@ def hamming_links(distinct: DataFrame, radius: int = 3, block_rows: int = 20_000
     """
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius one find at most three differing bits")
-    ball = f"transform(filter(sequence(0, {SEGMENT_BITS - 1}), b -> shiftright(value, b) & 1L = 0), b -> value | shiftleft(1L, b))"
     values = distinct.select("fp", "rep", F.expr(f"inline(array({', '.join(f'named_struct("seg", {s}, "value", {_segment(s)})' for s in (0, 1))}))"))
-    flips = f"concat(array(value), {ball})" if radius > 1 else "array(value)"
+    flips = _upward_ball("value", SEGMENT_BITS) if radius > 1 else "array(value)"
     probes = values.select("fp", "rep", "seg", F.expr(f"explode({flips})").alias("key"))
     table = values.select("seg", F.col("value").alias("key")).distinct()
     met = probes.join(table, ["seg", "key"], "left_semi")
     sizes = met.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # one block: a single pair of blocks; more: every row goes to all pairs of blocks that its own is in
-    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
-    pairs = F.expr("transform(sequence(0, blocks - 1), other -> struct(least(own, other) as i, greatest(own, other) as j))")
-    groups = (
-        met.join(sizes, ["seg", "key"])
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .select("seg", "key", "fp", "rep", F.explode(pairs).alias("pair"))
-        .groupBy("seg", "key", "pair")
-        .agg(F.collect_list(F.struct("fp", "rep")).alias("members"))
-        .filter(F.size("members") > 1)
-    )
+    placed = met.join(sizes, ["seg", "key"])
+    whole = in_blocks(placed.filter(F.col("n") <= block_rows), ["seg", "key"], block_rows)
+    # crowded places: once more by balls around the halves of the other segment
+    other = f"(case when seg = 0 then {_segment(1)} else {_segment(0)} end)"
+    halves = ", ".join(f"transform({_upward_ball(f'(shiftright(other, {16 * h}) & 65535L)', 16)}, x -> x + {h << 16}L)" for h in (0, 1))
+    crowded = placed.filter(F.col("n") > block_rows).withColumn("other", F.expr(other)).select("seg", "key", "fp", "rep", F.expr(f"explode(concat({halves}))").alias("half"))
+    counts = crowded.groupBy("seg", "key", "half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    split = in_blocks(crowded.join(counts, ["seg", "key", "half"]), ["seg", "key", "half"], block_rows)
+    groups = whole.select("members").unionByName(split.select("members"))
     return groups.select("members.fp", "members.rep").mapInArrow(_forests(radius), "u long, v long")
 
 
@@ -144,9 +163,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Defined cases: null, empty and wordless texts have fingerprint zero and are linked to each other like any other;
     repeated rows each have a row; a null doc_id has its class's component_id, or null where no member has an id; an
-    empty table gives an empty result; columns beyond the two named are ignored, whatever their names.
+    empty table gives an empty result; columns beyond the two named are ignored, whatever their names; texts of any
+    length and invalid UTF-8 are hashed as they stand. The result reads two tables in the shared folder.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col, words))
+    prints = written(fingerprints(docs, id_col, text_col, words))
     # links name fingerprints, which are never null; ids come in afterwards, as some fingerprints have none
     named = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = component_roots(hamming_links(named.select("fp", F.col("fp").alias("rep")), radius))
@@ -160,14 +180,3 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def hex_fingerprint(fp):
     """A long as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one_of_each_class(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` (with doc_id and text) with one row of each near-duplicate class: the smallest doc_id's.
-
-    Repeated rows of the kept doc_id leave one row. Rows without a doc_id cannot stand for a class or be told apart,
-    so all of them stay as they are.
-    """
-    chosen = near_duplicate_classes(docs, words=words, radius=radius).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
