@@ -12,8 +12,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, mixing, pii, quality_rules, simhash_dedup
-from scriptorium.llm.lineage import discard, shared_folder
+from scriptorium.llm import bpe, mixing, near_copies, pii, quality_rules
+from scriptorium.llm.lineage import discard, discard_since, mark, shared_folder
 from scriptorium.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,8 +27,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each class stays."""
-    return simhash_dedup.keep_one_of_each_class(docs)
+    """SimHash near-dedup: one document of each group of near copies (five words, a likeness of 0.8) stays."""
+    return near_copies.keep_one_of_each_group(docs, words=5, similarity=0.8)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,15 +61,18 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to a folder of its own in the shared place and read again.
 
-    A stage's folder is deleted once the next one is written, so two stages' tables exist at most; the last stays, as
-    the result reads it.
+    A stage's folder is deleted once the next one is written, and what a stage keeps for itself once it is written, so
+    two stages' tables exist at most; the last stays, as the result reads it. Columns beyond those of ``documents`` are
+    left out, null and empty texts are rejected by the first stage, different documents that share a doc_id are kept
+    apart, and an empty table gives an empty result.
     """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     before = None
     for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
+        path, place = f"{folder}/{number}-{name}", mark()
         stage(spark, docs, sf_dir).write.parquet(path)
+        discard_since(spark, place)
         docs = spark.read.parquet(path)
         if before is not None:
             discard(spark, before)
