@@ -6,7 +6,7 @@ those against brute force, the public libraries or held-out pages.
 
 from __future__ import annotations
 
-from scriptorium.llm.pii import CONTEXT_CHARS, IBAN, KINDS
+from scriptorium.llm.pii import CHARS_AFTER, CHARS_BEFORE, CONTEXT_GAIN, IBAN, KEY, KINDS, THRESHOLD
 from scriptorium.llm.quality_rules import BOILERPLATE
 
 _FITS = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
@@ -60,6 +60,8 @@ _PATTERNS = {
     "iban": IBAN,
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "secret": "[A-Za-z0-9+/_-]{32,}",
+    "key": KEY,
+    "private_key": r"-----BEGIN (?:[A-Z0-9]+ )?PRIVATE KEY-----[A-Za-z0-9+/=:,\s]*-----END (?:[A-Z0-9]+ )?PRIVATE KEY-----",
 }
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = f"(SELECT sum(CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN d WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END) FROM (SELECT unnest(range(1, length({_DIGITS}) + 1)) AS i, CAST(unnest(string_split({_DIGITS}, '')) AS INTEGER) AS d)) % 10 = 0"
@@ -71,20 +73,27 @@ _VALID = {
     "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}",
     "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
     "iban": _MOD97,
-    "ssn": "NOT regexp_matches(v, '^(?:000|666|9[0-9]{2})|-00-|-0000$') AND NOT regexp_matches(substr(text, CAST(s AS BIGINT), CASE WHEN s > 0 THEN 1 ELSE 0 END), '[0-9-]') AND NOT regexp_matches(substr(text, CAST(s + length(v) + 1 AS BIGINT), 1), '[0-9-]')",
+    "ssn": "NOT regexp_matches(v, '^(?:000|666|9[0-9]{2})|-00-|-0000$')",
     "secret": "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')",
+    "key": "true",
+    "private_key": "true",
 }
 
 
 def _kind_sql(order: int, name: str) -> str:
     kind = next(k for k in KINDS if k.name == name)
-    quoted = _PATTERNS[name].replace("'", "''")
-    before = f"substr(text, greatest(CAST(s AS BIGINT) - {CONTEXT_CHARS}, 0) + 1, least(CAST(s AS BIGINT), {CONTEXT_CHARS}))"
-    context = "true" if not kind.context or kind.score >= 0.7 else "regexp_matches(" + before + ", '" + kind.context.replace("'", "''") + "')"
+    quote = lambda pattern: pattern.replace("'", "''")
+    side = lambda start, end: f"substr(text, CAST({start} AS BIGINT) + 1, CAST({end} AS BIGINT) - CAST({start} AS BIGINT))"
+    any_of = lambda tests: " OR ".join(f"regexp_matches({text}, '{quote(p)}')" for text, p in tests if p) or "false"
+    before, after = side(f"greatest(s - {CHARS_BEFORE}, 0)", "s"), side("s + length(v)", f"s + length(v) + {CHARS_AFTER}")
+    gain = f"CASE WHEN {{}} THEN {CONTEXT_GAIN}::DOUBLE ELSE 0 END"
+    score = f"{kind.score}::DOUBLE + {gain.format(any_of([(before, kind.before), (after, kind.after)]))} - {gain.format(any_of([(before, kind.against), (after, kind.against)]))}"
+    told = "true" if kind.base else f"{score} >= {THRESHOLD}"
+    free = f"NOT ({any_of([(side('greatest(s - 1, 0)', 's'), kind.edge), (side('s + length(v)', 's + length(v) + 1'), kind.edge)])})"
     return f"""SELECT rid, {order} AS o, '{name}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + length(v) AS BIGINT) AS e FROM (
   SELECT rid, text, v, sum(length(g)) OVER (PARTITION BY rid ORDER BY n) + coalesce(sum(length(v)) OVER (PARTITION BY rid ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
     SELECT rid, text, generate_subscripts(m, 1) AS n, unnest(m) AS v, unnest(p[1:len(m)]) AS g FROM (
-      SELECT rid, text, regexp_extract_all(text, '{quoted}') AS m, string_split_regex(text, '{quoted}') AS p FROM d WHERE regexp_matches(text, '{quoted}')))) WHERE {_VALID[name]} AND {context}"""
+      SELECT rid, text, regexp_extract_all(text, '{quote(_PATTERNS[name])}') AS m, string_split_regex(text, '{quote(_PATTERNS[name])}') AS p FROM d WHERE regexp_matches(text, '{quote(_PATTERNS[name])}')))) WHERE {_VALID[name]} AND {free} AND {told}"""
 
 
 PII = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), x AS ({' UNION ALL '.join(_kind_sql(i, n) for i, n in enumerate(_PATTERNS))}),

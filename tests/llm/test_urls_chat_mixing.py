@@ -111,7 +111,7 @@ def test_both_joins_and_odd_rows(spark):
     rows = [(i, f"t{i}", None if i % 5 == 0 else f"s{i % 4}", 7) for i in range(200)] + [(None, None, "s1", 1), (3, "t3", "s3", 7), (3, "t3", "s3", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy_no int")
     near = Counter(map(tuple, mixing.mixed(df).collect()))
-    far = Counter(map(tuple, mixing.mixed(df, broadcast_sources=0).collect()))
+    far = Counter(map(tuple, mixing.mixed(df, broadcast_bytes=0).collect()))
     assert near == far and mixing.mixed(df).columns == ["doc_id", "text", "source", "copy_no"]
     assert mixing.mixed(df.limit(0)).collect() == []
     assert mixing.mixed(df, {"absent": 1.0}).collect() == []
