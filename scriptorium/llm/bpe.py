@@ -6,25 +6,29 @@ rank. A merge changes three leaves (the merged token's, its left neighbour's, an
 of logarithmic length to the root: n log n for a piece of n bytes, where a rescan for each merge would be quadratic.
 
 Pieces of up to 64 bytes are merged many at a time, one tree a row of a matrix and one numpy step a tree level; longer
-ones one by one. A worker keeps the pieces it has met in a bounded dictionary, so frequent words are merged once.
+ones one by one. A worker keeps the pieces it has met in a dictionary bounded in bytes, so frequent words are merged
+once. The vocabulary's file is read by the driver and sent to the workers.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.native import quoted
 from scriptorium.llm.pretokens import BYTE_LEVEL, in_portions, splitter
 
-#: Pieces in each of the two generations of a worker's cache, about 200 bytes each.
-CACHE_PIECES = 300_000
+#: Bytes in each of the two generations of a worker's cache, and those of a piece besides its characters.
+CACHE_BYTES = 64 << 20
+PIECE_BYTES = 200
 _MANY_BYTES = 64
 _NONE = np.iinfo(np.int32).max
 _POSITION_BITS = 6
@@ -174,11 +178,9 @@ class Merges:
         return b"".join(map(self.token_bytes.__getitem__, memoryview(ids).cast("I")))
 
 
-@lru_cache(maxsize=4)
-def merges_of_ranks(path: str) -> Merges:
+def merges_of_ranks(data: bytes) -> Merges:
     """A rank file: one base64 token and its rank a line; any two tokens merge whose joined bytes are a token."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
     pairs = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
@@ -196,11 +198,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=4)
-def merges_of_json(path: str) -> Merges:
+def merges_of_json(data: bytes) -> Merges:
     """A JSON vocabulary with an ordered list of merges of token pairs."""
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+    model = json.loads(data)["model"]
     alphabet, vocab = byte_alphabet(), model["vocab"]
     spelled = {token: bytes(alphabet[c] for c in token) for token in vocab if all(c in alphabet for c in token)}
     pairs: dict[tuple[int, int], tuple[int, int]] = {}
@@ -211,23 +211,31 @@ def merges_of_json(path: str) -> Merges:
     return Merges([vocab[byte_of[b]] for b in range(256)], pairs, {vocab[t]: s for t, s in spelled.items()}, None)
 
 
+@lru_cache(maxsize=4)
+def vocabulary(read: Callable[[bytes], Merges], data: bytes) -> Merges:
+    """The merges of a vocabulary file's bytes, read once a process."""
+    return read(data)
+
+
 class PieceCache(dict):
     """Packed ids of pieces, kept by a worker between its tasks, in two generations of bounded size.
 
-    When the young generation is full it becomes the old one, which is forgotten; what is used again moves back.
+    When the young generation is full it becomes the old one, which is forgotten; what is used again moves back. It
+    may exceed ``limit`` bytes by the pieces of one portion.
     """
 
-    def __init__(self, limit: int = CACHE_PIECES):
+    def __init__(self, limit: int = CACHE_BYTES):
         super().__init__()
-        self.limit = limit
+        self.limit, self.bytes = limit, 0
         self.old: dict[str, bytes] = {}
 
     def fill(self, merges: Merges, pieces: set[str]) -> None:
         """Make sure that all of ``pieces`` are in the young generation."""
-        if len(self) + len(pieces) > self.limit:
-            self.old = dict(self)
+        if self.bytes > self.limit:
+            self.old, self.bytes = dict(self), 0
             self.clear()
         missing = pieces.difference(self)
+        self.bytes += PIECE_BYTES * len(missing) + 8 * sum(map(len, missing))
         if again := missing.intersection(self.old):
             self.update((p, self.old[p]) for p in again)
             missing -= again
@@ -236,7 +244,7 @@ class PieceCache(dict):
 
 
 @lru_cache(maxsize=4)
-def _cache(path: str, pattern: str) -> PieceCache:
+def _cache(data: bytes, pattern: str) -> PieceCache:
     return PieceCache()
 
 
@@ -245,13 +253,18 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str = BYTE_LEVEL, keep: t
 
     round_trip adds ``decoded`` (binary), the bytes that the ids decode to. Each match of ``pattern`` is merged by
     itself; there are no special tokens. Defined cases: a null or empty text has no tokens and decodes to no bytes; a
-    text of any length is encoded whole; repeated rows give repeated rows; columns not in ``keep`` are not read.
+    text of any length is encoded whole; bytes that are not UTF-8 are read as replacement characters; repeated rows
+    give repeated rows; an empty table gives an empty result; columns not in ``keep`` are not read.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_tokens long, ids binary", *(["decoded binary"] if round_trip else [])])
-    names = [*keep, "n_tokens", "ids", *(["decoded"] if round_trip else [])]
+    shipped = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
+    # names of any kind stay outside: the workers see numbered columns
+    wanted = docs.select(*(F.col(quoted(c)).alias(f"kept_{i}") for i, c in enumerate(keep)), F.make_valid_utf8("text").alias("of_text"))
+    made = {"n_tokens": "long", "ids": "binary", **({"decoded": "binary"} if round_trip else {})}
+    kinds = {f.name: f.dataType.simpleString() for f in wanted.schema if f.name != "of_text"} | made
+    names = list(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, split, cache = merges_of_ranks(ranks_path), splitter(pattern), _cache(ranks_path, pattern)
+        merges, split, cache = vocabulary(merges_of_ranks, shipped.value), splitter(pattern), _cache(shipped.value, pattern)
         for batch in batches:
             kept, texts = batch.columns[:-1], [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for start, end in in_portions(texts):
@@ -263,4 +276,4 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str = BYTE_LEVEL, keep: t
                     columns.append(pa.array([merges.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return wanted.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items())).toDF(*keep, *made)

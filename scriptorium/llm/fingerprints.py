@@ -5,9 +5,10 @@ texts, and slowly with its count. Every term's 128 hash bits vote with its weigh
 fingerprint.
 
 Search. A fingerprint is cut into radius + 1 blocks; two fingerprints within the radius agree in at least one block
-entirely, so a table of the fingerprints permuted to start with that block holds both at one key. Each table is one
-join on (block number, block value); complete distances are then compared. Distinct fingerprints are searched, so
-copies meet once.
+entirely, so a table of the fingerprints permuted to start with that block holds both at one key. The fingerprints
+that agree with a searched one meet it at (block number, block value) and complete distances are compared there;
+a place with many is dealt to parts by a salt. Distinct fingerprints are searched, so copies meet once, and a place
+answers with one row for each searched fingerprint, never with pairs.
 
 The edited text of a document ends with the beginning of the next one, so neighbours in id order must meet. Ids are
 cut into ranges at quantiles; every row is dealt to its range's task, and the first row of each range also, as a
@@ -25,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.lineage import written
+
 BITS = 128
 #: Documents dealt to a task, and the most tasks they are dealt to.
 ROWS_A_TASK = 4_000
@@ -73,7 +76,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             found = [fingerprint(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
 
 
 def _range_of(key: Column, starts: list[int]) -> Column:
@@ -88,7 +91,7 @@ def in_id_order(docs: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """(range, ahead, key, doc_id, text): rows dealt to ranges of doc_id and sorted in them, each followed by the first
     rows of the next range (of the first range after the last), which are marked ``ahead``."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
+    keyed = docs.select("doc_id", F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"), key.alias("key"))
     rows = docs.count()
     tasks = max(1, min(MOST_TASKS, -(-rows // rows_a_task)))
     shares = [i / tasks for i in range(1, tasks)]
@@ -108,7 +111,8 @@ def compared_with_next(docs: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataF
 
     The next document is the next row by (doc_id, text), the first row's after the last. Defined cases: a null text
     counts as empty; null ids come first; of rows that share an id, ordered by text, each is compared with its own
-    next row; a single row is followed by itself; an empty table gives an empty result; other columns are not read.
+    next row; a single row is followed by itself; an empty table gives an empty result; other columns are not read; a
+    text of any length is read whole, two at a time; bytes that are not UTF-8 are read as replacement characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,18 +150,71 @@ def _block(fp: Column, number: int, blocks: int) -> Column:
     return F.substring(fp, start + 1, size + (number < longer))
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, other, distance): for each query row each distinct fingerprint within ``radius`` bits.
+def _near(radius: int):
+    """For each searched fingerprint of a place: how many documents of the place are within the radius, and the least id."""
 
-    ``queries`` and ``prints`` have doc_id and fingerprint (binary). Distinct fingerprints are joined, then the query
-    rows to their fingerprint's finds; the documents of a find are those of ``prints`` with that fingerprint.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[bytes, int, int | None]] = []
+            for block, blocks, searched, others in zip(*(c.to_pylist() for c in batch.columns)):
+                words = lambda prints: np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(-1, BITS // 8)
+                fps, rows = words(o["fp"] for o in others), np.array([o["rows"] for o in others])
+                ids = [o["least"] for o in others]
+                size, longer = divmod(BITS // 8, blocks)
+                ends = [(i + 1) * size + min(i + 1, longer) for i in range(block)]
+                for fp in searched:
+                    differing = np.bitwise_count(fps ^ words([fp]))
+                    near = differing.sum(axis=1, dtype=np.int64) <= radius
+                    start = 0
+                    for end in ends:  # those that agree in an earlier block were met there
+                        near &= differing[:, start:end].any(axis=1)
+                        start = end
+                    if near.any():
+                        found = [ids[i] for i in np.nonzero(near)[0] if ids[i] is not None]
+                        out.append((fp, int(rows[near].sum()), min(found, default=None)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["fp", "n_near", "least_near"])
+
+    return run
+
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, part_rows: int = 20_000) -> DataFrame:
+    """(fp, n_near, least_near): for each distinct fingerprint of ``queries`` the number of rows of ``prints`` within
+    ``radius`` bits and the smallest of their doc_ids.
+
+    Both have doc_id and fingerprint (binary). Fingerprints with nothing within the radius have no row. Null ids count
+    but are never the smallest; a null fingerprint is not searched and not found. At a place above ``part_rows`` the
+    others are dealt to parts by a hash and the searched ones go to every part, themselves in portions.
     """
     blocks = radius + 1
     if not 0 <= radius < BITS // 8:
         raise ValueError("radius + 1 blocks of whole bytes are needed")
-    tables = [F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i, blocks).alias("value")) for i in range(blocks)]
-    permuted = lambda df, name: df.select(F.col("fingerprint").alias("fp")).distinct().select(F.col("fp").alias(name), F.explode(F.array(*tables)).alias("t")).select(name, "t.block", "t.value")
-    met = permuted(queries, "a").join(permuted(prints, "b"), ["block", "value"])
-    halves = [F.bit_count(F.conv(F.hex(F.substring("a", i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("b", i, 4)), 16, 10).cast("long"))) for i in range(1, BITS // 8, 4)]
-    near = met.withColumn("distance", sum(halves[1:], halves[0])).filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
-    return queries.select("doc_id", "fingerprint").join(near, F.col("fingerprint") == F.col("a")).select("doc_id", "fingerprint", F.col("b").alias("other"), "distance")
+    tables = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i, blocks).alias("value")) for i in range(blocks)))).alias("t")
+    found = prints.filter("fingerprint is not null").groupBy(F.col("fingerprint").alias("fp")).agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
+    searched = queries.select(F.col("fingerprint").alias("fp")).filter("fp is not null").distinct().select("fp", tables).select("fp", "t.block", "t.value")
+    others = found.select("fp", "rows", "least", tables).select("fp", "rows", "least", "t.block", "t.value")
+    places = searched.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n_searched"))
+    met = others.join(places, ["block", "value"])
+    sizes = met.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n_others"), F.first("n_searched").alias("n_searched"))
+    parts, portions = F.ceil(F.col("n_others") / part_rows).cast("int"), F.ceil(F.col("n_searched") / part_rows).cast("int")
+    salt = lambda n: F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    table_side = met.drop("n_searched").join(sizes, ["block", "value"]).select("block", "value", salt(parts).alias("part"), every(portions).alias("portion"), F.struct("fp", "rows", "least").alias("other"), F.lit(None).cast("binary").alias("wanted"))
+    query_side = searched.join(sizes, ["block", "value"]).select("block", "value", every(parts).alias("part"), salt(portions).alias("portion"), F.lit(None).cast(table_side.schema["other"].dataType).alias("other"), F.col("fp").alias("wanted"))
+    gathered = table_side.unionByName(query_side).groupBy("block", "value", "part", "portion").agg(F.collect_list("wanted").alias("searched"), F.collect_list("other").alias("others"))
+    near = gathered.filter(F.size("searched") > 0).select("block", F.lit(blocks).alias("blocks"), "searched", "others").mapInArrow(_near(radius), "fp binary, n_near long, least_near long")
+    return near.groupBy("fp").agg(F.sum("n_near").alias("n_near"), F.min("least_near").alias("least_near"))
+
+
+def digests_with_neighbours(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
+    """compared_with_next's rows with the edited text as its SHA-256, and the search over all fingerprints.
+
+    n_near and least_near are within_radius's answer for the rows whose doc_id is divisible by ``every``, themselves
+    included; null for the others. The compared rows, without texts, are one written table, which the result reads.
+    """
+    compared = compared_with_next(docs)
+    digest = F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256")
+    rows = written(compared.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
+    asked = F.col("doc_id") % every == 0
+    near = within_radius(rows.filter(asked), rows, radius)
+    known = F.when(asked, F.col("fingerprint")).alias("fp")
+    return rows.withColumn("fp", known).join(near, "fp", "left").drop("fp")

@@ -45,7 +45,10 @@ def columns_of(df: DataFrame, without: Iterable[str] = ()) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c.lower() not in left_out]
 
 
-def with_text(df: DataFrame, text: Column) -> list[Column]:
-    """The columns of ``df`` with ``text`` in place of its text and, if there is one, n_chars brought up to date."""
-    changed = {"text": text, "n_chars": F.length(text).cast("long")}
-    return [changed[c.lower()].alias(c) if c.lower() in changed else F.col(quoted(c)) for c in df.columns]
+def with_text(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``text`` in place of its text and, if there is one, n_chars brought up to date.
+
+    Two projections: in one, the name text inside the length would be taken for the new column.
+    """
+    changed = df.select(*(text.alias(c) if c.lower() == "text" else F.col(quoted(c)) for c in df.columns))
+    return changed.select(*(F.length("text").cast("long").alias(c) if c.lower() == "n_chars" else F.col(quoted(c)) for c in df.columns))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from scriptorium.llm.pii import CHARS_AFTER, CHARS_BEFORE, CONTEXT_GAIN, IBAN, KEY, KINDS, THRESHOLD
 from scriptorium.llm.quality_rules import BOILERPLATE
+from scriptorium.llm.url_filter import AD_HOSTS, HOST_PARTS, HOST_WORDS, PAGE_WORDS
 
 _FITS = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
 
@@ -17,8 +18,8 @@ h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
 j AS (SELECT *, CASE WHEN {_FITS.format('www.example.com', '/en/')} THEN 'www.example.com/en/' WHEN {_FITS.format('example.com', '/en/')} THEN 'example.com/en/'
   WHEN {_FITS.format('net', '/es/')} THEN 'net/es/' WHEN {_FITS.format('net', '/fr/')} THEN 'net/fr/' WHEN {_FITS.format('com', '/')} THEN 'com/' END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|[^a-z0-9])(spam|pills|casino|porn|torrent)([^a-z0-9]|$)') OR regexp_matches(host, '(^|\\.)(ads|adserver)\\.')
-    OR regexp_matches(path, '(?i)/(login|cart|wp-admin)([/.]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM j"""
+  WHEN regexp_matches(host, '(^|[^a-z0-9])({'|'.join(HOST_WORDS)})([^a-z0-9]|$)') OR regexp_matches(host, '{'|'.join(HOST_PARTS)}') OR regexp_matches(host, '(^|\\.)({'|'.join(AD_HOSTS)})\\.')
+    OR regexp_matches(path, '(?i)/({'|'.join(PAGE_WORDS)}|wp-admin)([/.]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM j"""
 
 _WS = r"[\x20\x09-\x0D]"
 QUALITY_RULES = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),

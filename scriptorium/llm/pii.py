@@ -212,7 +212,7 @@ def redacted(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """
     spans = fresh(docs, "pii_spans")
     found = with_spans(docs, kinds, spans)
-    changed = found.select(*with_text(found, redacted_text(F.col("text"), F.col(spans))))
+    changed = with_text(found, redacted_text(F.col("text"), F.col(spans)))
     return changed.select(*(F.col(quoted(c)) for c in docs.columns))
 
 

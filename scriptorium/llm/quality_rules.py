@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.native import fresh, let, words_of
+from scriptorium.llm.native import columns_of, fresh, let, quoted, with_text, words_of
 
 #: Fixed phrases of site furniture, matched without regard to case in lines of at most ``boilerplate_words`` words.
 BOILERPLATE = (
@@ -140,10 +140,11 @@ def judged(docs: DataFrame, rules: LineRules = LineRules(), name: str = "quality
     """``docs`` plus a struct column ``name``: the measures, base_failed, kept and the cleaned text.
 
     Defined cases: a null text counts as empty and is rejected (no words); blank lines neither fail nor count; a text
-    of one very long line or of very many lines is judged whole; repeated rows are judged alike; other columns,
-    whatever their names, are carried along, but a column of that name is replaced.
+    of one very long line or of very many lines is judged whole; repeated rows are judged alike; an empty table gives
+    an empty result; other columns, whatever their names, are carried along, but a column of that name, in any case,
+    is replaced.
     """
-    return docs.withColumn(name, verdict_of(F.col("text"), rules))
+    return docs.select(*columns_of(docs, without=[name]), verdict_of(F.col("text"), rules).alias(name))
 
 
 def cleaned(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -154,7 +155,5 @@ def cleaned(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """
     verdict = fresh(docs, "verdict")
     kept = F.filter(F.array(verdict_of(F.col("text"), rules)), lambda v: v["kept"])
-    out = docs.select(*docs.columns, F.explode(kept).alias(verdict)).withColumn("text", F.col(f"{verdict}.clean_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    out = docs.select(*columns_of(docs), F.explode(kept).alias(verdict))
+    return with_text(out, F.col(f"{verdict}.clean_text")).select(*(F.col(quoted(c)) for c in docs.columns))

@@ -44,16 +44,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compared = fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
-    return compared.select(
-        "doc_id",
-        "n_chars",
-        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
-        F.lower(F.hex("fingerprint")).alias("fingerprint"),
-        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
-    )
+    compared = fingerprints.digests_with_neighbours(table(spark, sf_dir, "documents"), radius=3, every=20)
+    hexadecimal = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return compared.select("doc_id", "n_chars", "edited_sha256", *hexadecimal, "near_edited", "near_next", "n_near", "least_near")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

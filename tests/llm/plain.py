@@ -21,6 +21,14 @@ def fingerprint(text, words=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def wide_fingerprint(text, words=5):
+    """256 bits as a number."""
+    tokens = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
+    votes = sum(np.array([int(c) for c in "".join(f"{xxhash.xxh3_128(s.encode(), seed=k).intdigest():0128b}" for k in (1, 2))]) * 2 - 1 for s in shingles)
+    return int("".join("1" if v > 0 else "0" for v in votes), 2) if shingles else 0
+
+
 def classes(prints, radius=3):
     """Smallest id reachable, from {id: fingerprint}."""
     parent = {i: i for i in prints}
@@ -31,9 +39,10 @@ def classes(prints, radius=3):
         return i
 
     ids = sorted(prints)
-    values = np.array([prints[i] for i in ids], dtype=np.uint64)
+    words = max(1, max(-(-int(p).bit_length() // 64) for p in prints.values()) if prints else 1)
+    values = np.array([[int(prints[i]) >> 64 * w & (1 << 64) - 1 for w in range(words)] for i in ids], dtype=np.uint64).reshape(-1, words)
     for k, i in enumerate(ids):
-        for j in np.nonzero(np.bitwise_count(values[k + 1 :] ^ values[k]) <= radius)[0]:
+        for j in np.nonzero(np.bitwise_count(values[k + 1 :] ^ values[k]).sum(axis=1, dtype=int) <= radius)[0]:
             a, b = root(i), root(ids[k + 1 + int(j)])
             parent[max(a, b)] = min(a, b)
     return {i: root(i) for i in ids}
@@ -81,6 +90,43 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
 
 
+FURNITURE = (
+    "all rights reserved|accept cookies|uses cookies|cookie policy|privacy policy|terms of service|terms of use|enable javascript|javascript is disabled|"
+    "subscribe to our newsletter|sign up for our newsletter|click here to|share on facebook|share on twitter|skip to content|skip to main content|back to top|lorem ipsum"
+)
+
+
+def line_fails(line):
+    n = len(words_of(line))
+    count = lambda pattern: len(re.findall(pattern, line))
+    return n > 0 and (
+        (n >= 3 and count("[#*$%&|<>]") > 0.3 * n)
+        or (n >= 3 and count("!!") > 0.3 * n)
+        or (count("[|»›•·]") >= 3 and count("[|»›•·]") > 0.25 * n)
+        or (n <= 20 and re.search(FURNITURE, line, re.I) is not None)
+        or (n < 3 and re.search(r"""[.!?…。！？:;]["')\]”’»]*[\x20\x09-\x0D]*$""", line) is None)
+    )
+
+
+def cleaned(text):
+    """The text without its failed lines; None if the document is rejected."""
+    if quality(text)[-1]:
+        return None
+    left = "\n".join(x for x in (text or "").split("\n") if not line_fails(x))
+    return left if len(words_of(text)) - len(words_of(left)) <= 0.5 * len(words_of(text)) else None
+
+
+def redacted(text):
+    """Base kinds and marked secrets replaced by their kinds; the first of overlapping spans names the replacement."""
+    secrets = [("secret", m.start(1), m.end(1)) for m in re.finditer(r"""token = "([A-Za-z0-9+/_-]{32,})""", text)]
+    out, at = "", 0
+    for kind, start, end in sorted(base_spans(text) + secrets, key=lambda s: s[1]):
+        if start >= at:
+            out += f"{text[at:start]}<{kind.upper()}>"
+        at = max(at, end)
+    return out + text[at:]
+
+
 def draws(ids_sources, temperature=0.5, seed=1):
     """Copies of each (doc_id, source)."""
     counts = {}

@@ -173,6 +173,7 @@ def test_odd_columns_and_bytes(spark):
     row = out.first()
     assert row["text"].endswith("<EMAIL>") and row["a.b"] == "k" and row["Pii_Spans"] == 2
     assert pii.with_spans(df.limit(0)).collect() == []
+    assert quality_rules.cleaned(df).columns == df.columns and quality_rules.judged(df, name="a.b").columns == ["doc_id", "text", "Pii_Spans", "N_CHARS", "a.b"]
 
 
 def test_words():

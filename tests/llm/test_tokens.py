@@ -8,6 +8,10 @@ import struct
 import public_tokenizers
 import pytest
 import tiktoken
+from collections import Counter
+from pathlib import Path
+
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -38,14 +42,10 @@ def test_pattern_is_the_public_one():
 @settings(max_examples=300, deadline=None)
 @given(st.text())
 def test_split_of_any_text(text):
-    import regex
-
     assert pretokens.splitter(pretokens.BYTE_LEVEL)(text) == regex.findall(pretokens.BYTE_LEVEL, text)
 
 
 def test_split_of_every_common_character():
-    import regex
-
     for c in range(0x260):
         text = f"a{chr(c)}1 {chr(c)}a {chr(c)}{chr(c)} {chr(c)} 1{chr(c)}!'s"
         assert pretokens.splitter(pretokens.BYTE_LEVEL)(text) == regex.findall(pretokens.BYTE_LEVEL, text), c
@@ -55,7 +55,7 @@ def test_pieces(library):
     r = random.Random(3)
     pieces = [bytes(r.choices(b"abcthein rsd\xc3\xa9\x00!", k=r.randrange(1, 150))) for _ in range(600)]
     pieces += [bytes([b]) for b in range(256)] + [b"a" * 3000, b" " * 70, b"=" * 64, b"=" * 65]
-    merges = bpe.merges_of_ranks(RANKS)
+    merges = bpe.merges_of_ranks(Path(RANKS).read_bytes())
     for piece, ids in zip(pieces, merges.encode(pieces)):
         assert list(memoryview(ids).cast("I")) == library._encode_single_piece(piece)
         assert merges.decode(ids) == piece
@@ -84,25 +84,47 @@ def test_counts(spark, counter):
         assert row["over_limit"] == (row["n_tokens"] > 512)
 
 
-def test_frequent_table_is_bounded_and_right(counter):
-    words, lengths = token_counts.frequent_lengths(bpe.merges_of_json(VOCABULARY))
-    listed = words.split("\0")
-    assert len(listed) == len(lengths) <= counter.get_vocab_size()
-    for i in range(0, len(listed), 997):
-        assert lengths[i] == len(counter.encode(listed[i], add_special_tokens=False).ids)
+def test_frequent_pretokens_are_the_most_frequent(spark, counter):
+    """Measured on all of a small table; the table's lengths are the library's, whatever their size."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    words, share = token_counts.frequent_pretokens(docs, sample_rows=10**6, entries=500)
+    counts = Counter(p for r in docs.select("text").collect() for p in regex.findall(pretokens.BYTE_LEVEL, r["text"] or ""))
+    least = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:500]
+    assert words == [w for w, _ in least] and abs(share - sum(n for _, n in least) / counts.total()) < 1e-12
+    long = "=" * 3 + "x" * 2000 + "é" * 900
+    merges = bpe.merges_of_json(Path(VOCABULARY).read_bytes())
+    lengths = token_counts._Lengths(token_counts.lengths_table([*words, long], merges))
+    for word in [*words[::50], long]:
+        assert lengths[word] == len(merges.encode([word.encode()])[0]) // 4
+    assert lengths[long] > 255
+
+
+def test_a_sample_changes_no_count(spark, smallest):
+    docs = table(spark, smallest, "documents")
+    whole, part = (sorted(map(tuple, token_counts.counted(docs, VOCABULARY, sample_rows=n).collect())) for n in (10**6, 3))
+    assert whole == part
 
 
 def test_caches_that_overflow_change_nothing():
-    merges = bpe.merges_of_ranks(RANKS)
-    cache, lengths = bpe.PieceCache(limit=8), token_counts._Lengths(("a\0b", bytes([1, 1])), limit=3)
-    for step in range(20):
-        pieces = {f" word{step}", f" word{step // 3}", "the"}
+    merges = bpe.merges_of_ranks(Path(RANKS).read_bytes())
+    cache, lengths = bpe.PieceCache(limit=2000), token_counts._Lengths(token_counts.lengths_table(["a", "b"], merges), limit=2000)
+    for step in range(40):
+        pieces = {f" word{step}", f" word{step // 3}", "the", "x" * 50 * step}
         cache.fill(merges, pieces)
         lengths.fill(merges, pieces)
         for p in pieces:
             assert cache[p] == merges.encode([p.encode()])[0]
             assert lengths[p] == len(cache[p]) // 4
-        assert len(cache) <= 8 + 3 and lengths["a"] == 1
+        assert cache.bytes <= 2000 + 30_000 and lengths.bytes <= 2000 + 30_000 and lengths["a"] == 1
+    assert len(cache) < 40 and len(lengths) < 40
+
+
+def test_invalid_utf8_and_odd_columns(spark, library, counter):
+    df = spark.sql("select 1L as doc_id, cast(x'6120ff62' as string) as text, 'k' as `a.b`, 'z' as of_text")
+    row = bpe.encoded(df, RANKS, keep=("doc_id", "a.b", "of_text"), round_trip=True).first()
+    assert (row["a.b"], row["of_text"]) == ("k", "z")
+    assert bytes(row["decoded"]).decode() == "a \ufffdb" and row["n_tokens"] == len(library.encode_ordinary("a \ufffdb"))
+    assert token_counts.counted(df, VOCABULARY).first()["n_tokens"] == len(counter.encode("a \ufffdb").ids)
 
 
 def test_queries(spark, smallest, library, counter):

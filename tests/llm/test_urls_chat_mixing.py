@@ -58,6 +58,15 @@ def test_urls_against_plain_python(spark):
     assert [verdicts[u] for u in ("http://spam-farm.org/x", "http://spammy.org/x", "http://ads.x.org/", "http://x.org/login", "http://x.org/LOGIN/a", "http://x.org/loginx")] == ["block", "allow", "block", "block", "block", "allow"]
 
 
+def test_parts_of_hosts_and_odd_columns(spark):
+    urls = ["http://bestcasinos.org/x", "http://best.CASINO/", "http://x.org/bestcasinos", "http://casin.o/", "http://mytorrents.net/", "http://ads.x.org", "http://x.org/account/1", "http://x.org/accounts", "http://my-porn.org"]
+    df = spark.createDataFrame([(i, u, "x", 1, 2) for i, u in enumerate(urls)], "page_id long, url string, `a.b` string, url_fit int, VERDICT int")
+    out = url_filter.judged(df)
+    assert out.columns == ["page_id", "url", "a.b", "url_fit", "host", "path", "rule", "pattern", "verdict"]
+    assert [r["verdict"] for r in out.orderBy("page_id").collect()] == ["block", "block", "allow", "allow", "block", "block", "block", "allow", "block"]
+    assert url_filter.judged(df.limit(0)).collect() == []
+
+
 def test_many_rules_and_limits(spark):
     rules = tuple(url_filter.listed_rule("block" if i % 2 else "allow", f"host{i}.org/p{i}/") for i in range(500)) + (url_filter.listed_rule("block", "org/a"),)
     df = spark.createDataFrame([(i, f"http://www.host{i}.org/p{i}/x") for i in range(0, 600, 7)] + [(1000, "http://z.org/abc")], "page_id long, url string")
@@ -149,3 +158,9 @@ def test_skewed_sources_pass_the_old_limit(spark):
     assert max(r["rate"] for r in rates.collect()) > 400
     row = rates.filter("source = '0'").select("rate", mixing.first_step(F.col("rate")).alias("first"), mixing.poisson_steps(F.col("rate")).alias("steps")).first()
     assert row["first"] > 0 and abs(row["steps"][-1] - 1) < 1e-12 and row["steps"] == sorted(row["steps"])
+
+
+def test_odd_columns_and_lineage_in_the_mix(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).alias("a.b"), F.lit(2).alias("mix_steps"), F.lit(3).alias("COPY_NO"))
+    out = mixing.mixed(df)
+    assert out.columns == ["doc_id", "source", "a.b", "mix_steps", "copy_no"] and 4700 < out.count() < 5300
