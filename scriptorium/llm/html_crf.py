@@ -7,56 +7,51 @@ features' weights; ``moves[a, b]`` scores label b after label a.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
 from scriptorium.llm.html_blocks import Block
 
-#: Name words (of class, id, role) that tell what a container is for.
-NAME_GROUPS = {
-    "ad": "ad ads advert adverts advertisement advertising adbox adslot banner promo promoted promotion sponsor sponsored commercial",
-    "comment": "comment comments commentlist reply replies respond disqus discussion reader readers feedback",
-    "notice": "notice notices cookie cookies consent gdpr alert alerts popup modal overlay announcement warning disclaimer paywall",
-    "menu": "nav navbar navigation menu menus breadcrumb breadcrumbs crumbs toc pagination pager tabs skip",
-    "side": "sidebar side aside widget widgets related recommended recommendations trending popular teaser rail complementary",
-    "head": "header masthead topbar branding logo hero",
-    "foot": "footer bottom copyright colophon legal imprint contentinfo",
-    "form": "form login signup signin subscribe newsletter search contact register",
-    "share": "share sharing social follow",
-    "main": "content article post entry main body story text maincontent articlebody prose",
-    "hidden": "hidden",
+#: What site furniture says, whatever holds it.
+CUES = {
+    "consent": r"\b(?:we|site|website|page|and our partners) uses? cookies|\baccept (?:all )?cookies|\bcookie (?:policy|settings|preferences)|utilizamos cookies|utilisons des cookies|verwenden? cookies",
+    "rights": r"all rights reserved|copyright\s*(?:©|\(c\))?\s*(?:19|20)\d\d|©\s*(?:19|20)?\d*|tous droits réservés|alle rechte vorbehalten|todos los derechos",
+    "letter": r"\bsubscribe to (?:our|the|my)\b|\bsign up (?:for|to)\b|\bour newsletter|\bjoin our mailing list",
+    "account": r"^(?:log ?in|sign ?in|register|sign ?up|my account)\b.{0,20}$|forgot(?:ten)? (?:your )?password",
+    "share": r"^(?:share|tweet|follow us|like us)\b.{0,40}$",
+    "talk": r"\b(?:leave|post|write) a (?:comment|reply)|^\d+ (?:comments?|replies|responses)\b|\b(?:says|wrote|commented|replied)\s*:|^reply$",
+    "more": r"^(?:related|more|recommended|popular|trending|latest|read more|you may also like)\b.{0,30}$|\badvertisement\b",
 }
-_GROUP_OF = {word: group for group, words in NAME_GROUPS.items() for word in words.split()}
-_TAGS = frozenset("article main nav header footer aside form section ul ol li table figure figcaption blockquote pre button select option label address dialog details summary h1 h2 h3 h4 h5 h6 p div td th dt dd fieldset menu".split())
-
-
-@lru_cache(maxsize=4096)
-def group_of(name: str) -> str | None:
-    """The group of a name word: listed, or a compound that begins or ends with a listed word of five letters or more."""
-    if name in _GROUP_OF:
-        return _GROUP_OF[name]
-    inside = [w for w in _GROUP_OF if len(w) >= 5 and (name.startswith(w) or name.endswith(w))]
-    return _GROUP_OF[max(inside, key=len)] if inside else None
-
-
-def features(block: Block) -> list[str]:
-    """The names of the features that hold for a block."""
-    out = ["bias", f"own:{next((t for t in reversed(block.tags) if t in _TAGS), 'none')}"]
-    out += sorted({f"in:{t}" for t in block.tags if t in _TAGS})
-    out += sorted({f"name:{g}" for n in block.names if (g := group_of(n))})
-    words = block.text.count(" ") + 1
-    out.append(f"words:{'1' if words == 1 else '2-4' if words < 5 else '5-14' if words < 15 else '15-'}")
-    linked = block.link_chars / max(1, len(block.text))
-    out.append(f"links:{'none' if linked == 0 else 'some' if linked < 0.5 else 'most'}")
-    if block.text[-1] in ".!?…":
+_CUES = {name: re.compile(pattern, re.I) for name, pattern in CUES.items()}
+_MAIN_MARKS = frozenset(("article", "main"))
+
+
+def page_has_main(blocks: list[Block]) -> bool:
+    """Whether any block stands in an element that says that it holds the main text."""
+    return any(not _MAIN_MARKS.isdisjoint(b.element.marks) for b in blocks)
+
+
+def features(block: Block, has_main: bool) -> list[str]:
+    """The names of the features that hold for a block of a page that has, or has not, an element for the main text."""
+    element, text = block.element, block.text
+    marks = element.marks
+    near = marks[0] if marks else "none"
+    path = f"{near}<{marks[1] if len(marks) > 1 else 'none'}"
+    out = ["bias", f"own:{element.own}", f"near:{near}", f"path:{path}", f"own+path:{element.own}|{path}"]
+    out += [f"far:{m}" for m in marks[1:]]
+    inside = "none" if not has_main else "in" if not _MAIN_MARKS.isdisjoint(marks) else "out"
+    words = text.count(" ") + 1
+    size = "1" if words == 1 else "2-4" if words < 5 else "5-14" if words < 15 else "15-"
+    linked = block.link_chars / max(1, len(text))
+    links = "none" if linked == 0 else "some" if linked < 0.5 else "most"
+    out += [f"page:{inside}", f"words:{size}", f"links:{links}", f"links+page:{links}|{inside}"]
+    if text[-1] in ".!?…":
         out.append("closed")
-    lowered = block.text.lower()
-    if "©" in lowered or "all rights reserved" in lowered or "copyright" in lowered:
-        out.append("rights")
-    if "cookie" in lowered or "subscribe" in lowered or "advertisement" in lowered:
-        out.append("furniture-word")
+    for name, pattern in _CUES.items():
+        if pattern.search(text):
+            out += [f"cue:{name}", f"cue+page:{name}|{inside}", f"cue+near:{'main' if near in _MAIN_MARKS else 'other'}|{size}"]
     return out
 
 
@@ -66,8 +61,8 @@ class Model:
     moves: np.ndarray  # 2 x 2
 
     def scores(self, blocks: list[Block]) -> list[float]:
-        get = self.weights.get
-        return [sum(get(f, 0.0) for f in features(b)) for b in blocks]
+        get, has_main = self.weights.get, page_has_main(blocks)
+        return [sum(get(f, 0.0) for f in features(b, has_main)) for b in blocks]
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The best label sequence by Viterbi; ties go to label 1."""
@@ -100,9 +95,10 @@ class Model:
 
 def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 20, rate: float = 0.3, decay: float = 1e-4) -> Model:
     """Maximum likelihood by AdaGrad; the gradient is observed minus expected counts by forward and backward sums."""
-    names = sorted({f for blocks, _ in pages for b in blocks for f in features(b)})
+    told = [([features(b, page_has_main(blocks)) for b in blocks], labels) for blocks, labels in pages if blocks]
+    names = sorted({f for feats, _ in told for block in feats for f in block})
     index = {n: i for i, n in enumerate(names)}
-    rows = [([[index[f] for f in features(b)] for b in blocks], np.array(labels)) for blocks, labels in pages if blocks]
+    rows = [([[index[f] for f in block] for block in feats], np.array(labels)) for feats, labels in told]
     weights, moves = np.zeros(len(names)), np.zeros((2, 2))
     seen_w, seen_m = np.full(len(names), 1e-8), np.full((2, 2), 1e-8)
     order = np.random.default_rng(7)

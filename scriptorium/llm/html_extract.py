@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scriptorium.llm.html_blocks import leaf_blocks
 from scriptorium.llm.html_crf import Model
@@ -29,8 +30,9 @@ def extracted(pages: DataFrame, model_json: str | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
     Defined cases: a null, empty or tagless html is text without ancestors and judged as such (null and empty: no
-    text); a page is parsed whole, whatever its length; repeated rows are extracted alike; other columns are not read.
-    The model, a few kilobytes, travels with the plan.
+    text); a page is parsed whole, in time linear in its length; equal scores count as main text; repeated rows are
+    extracted alike; bytes that are not UTF-8 are read as replacement characters; an empty table gives an empty
+    result; other columns are not read. The model, a few kilobytes, travels with the plan.
     """
     packed = model_json or default_model()
 
@@ -42,4 +44,4 @@ def extracted(pages: DataFrame, model_json: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), counts], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", F.make_valid_utf8("url").alias("url"), F.make_valid_utf8("html").alias("html")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

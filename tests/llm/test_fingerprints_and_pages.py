@@ -89,7 +89,7 @@ def test_blocks():
     page = "<body><nav><a href=x>Menu</a></nav><article><h1>A &amp; B</h1><p><b>One\n two.<br><p>Three&nbsp;four<script>if (a<b) x('</p>')</script> five<!-- <p> --><ul><li>six<li>seven</ul>tail <a href='#'>li>nk</a></article><p>cut <a hr"
     blocks = html_blocks.leaf_blocks(page)
     assert [b.text for b in blocks] == ["Menu", "A & B", "One two.", "Three four five", "six", "seven", "tail li>nk", "cut"]
-    assert blocks[0].link_chars == 4 and "nav" in blocks[0].tags and "article" in blocks[2].tags and "article" not in blocks[7].tags
+    assert blocks[0].link_chars == 4 and blocks[0].element.marks == ("nav",) and blocks[2].element.marks == ("article",) and blocks[7].element.marks == ()
     for odd in ("", "plain", "<", "<<>>", "</p></div>", "<p", "<!-- never closed", "<script>never closed", "<div " * 2000, "<b>" * 5000 + "x"):
         html_blocks.leaf_blocks(odd)
 
@@ -120,6 +120,39 @@ def test_viterbi_against_all_sequences():
         assert abs(value(model.decode(blocks)) - best) < 1e-9
 
 
+#: Pages labelled by hand, not by the grammar: what holds the text, and the text.
+BY_HAND = [
+    ('<div class="page with-sidebar"><article><h1>T one</h1><p>Body text of the article here.</p></article></div>', "T one\nBody text of the article here."),
+    ('<body class="single open-comments"><article><p>Body text of the article here.</p></article>', "Body text of the article here."),
+    ("<article><header><h1>The title of it</h1></header><p>Body text of the article here.</p></article>", "The title of it\nBody text of the article here."),
+    ("<article><p>Some words stand here to be read by all.</p></article><div>We use cookies to improve your experience</div>", "Some words stand here to be read by all."),
+    ("<article><p>Some words stand here to be read by all.</p></article><p>Copyright 2024 Acme Inc. All rights reserved.</p>", "Some words stand here to be read by all."),
+    ("<main><p>Some words stand here to be read by all.</p></main><div><p>Subscribe to our newsletter</p></div>", "Some words stand here to be read by all."),
+    ("<article><p>Some words stand here to be read by all.</p></article><div><p>Bob says: great post, thanks for it!</p></div>", "Some words stand here to be read by all."),
+    ("<article><p>Let <math><mi>x</mi></math> be it.</p><noscript><p>A picture of the sea stands here.</p></noscript></article>", "Let x be it.\nA picture of the sea stands here."),
+    ("<p>Plain words of a page that has no containers.</p><p>And a second paragraph of it.</p><p>Copyright 2024 Acme. All rights reserved.</p>", "Plain words of a page that has no containers.\nAnd a second paragraph of it."),
+    ('<nav><ul><li><a href="/">Home</a></ul></nav><main><h1>On tides</h1><p>The sea rises.</p><aside><h2>Related</h2><a href="/x">More</a></aside><p>It falls.</p></main><footer>About us</footer>', "On tides\nThe sea rises.\nIt falls."),
+    ('<header><a href="/">My site</a></header><article><h1>Rye &amp; salt</h1><ol><li>Mix.<li>Wait.</ol></article><section id="comments"><h2>2 comments</h2><p>Lovely loaf, thank you.</p></section>', "Rye & salt\nMix.\nWait."),
+    ('<div id="content"><h2>News of the day</h2><p>It rained in the north.</p><div class="ad-box">Buy a boat today.</div><p>It was dry in the south.</p></div><div id="sidebar"><p>Older news.</p></div>', "News of the day\nIt rained in the north.\nIt was dry in the south."),
+    ('<aside><article class="teaser"><h3><a href="/a">Another story</a></h3><p>Its first words.</p></article></aside><main><p>The story itself is told here.</p></main>', "The story itself is told here."),
+    ('<main><form><label>Name</label><input><button>Send</button></form><p>Write to us at any time of the day.</p></main>', "Write to us at any time of the day."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), BY_HAND)
+def test_pages_labelled_by_hand(page, text):
+    assert html_extract.main_text(page, Model.from_json(html_extract.default_model())) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x" * 60_000, "<b>" * 60_000 + "<div></div>" * 60_000 + "x", '<a ">" ' * 60_000 + "'", "<p>x</b>" * 60_000, "<ul><li>" * 40_000 + "x", "<script " * 100_000, "</script" * 100_000 + "<script>" + "</script" * 100_000])
+def test_long_odd_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_blocks.leaf_blocks(page)
+    assert time.perf_counter() - began < 8
+
+
 def test_pages_query(spark, smallest):
     """The tables' pages have one article each; its blocks are the text."""
     import re
