@@ -29,15 +29,31 @@ def letters_of(script: str) -> str:
     return f"[[{char_class(K.SCRIPT_RANGES[script])}]&&\\p{{L}}]"
 
 
+#: The last code point below which only one script, Latin, has letters; none of the predicates' ranges is below it.
+_COMMON_END = 0x24F
+assert all(first > _COMMON_END for name, spans in K.SCRIPT_RANGES.items() if name != "Latin" for first, _ in ranges(spans))
+
+
+def beyond_latin(text: Column) -> Column:
+    """The characters of a text beyond the common Latin blocks: what other scripts are looked for in. Empty, or short,
+    for most texts, so the many searches that follow cost one pass over the whole text."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[\\x{{0}}-\\x{{{_COMMON_END:x}}}]+", "")
+
+
 def script_counts(text: Column) -> Column:
     """SCR-1: (count, -first place, script) for every script with letters in the text."""
     t = F.coalesce(text, F.lit(""))
-    each = []
-    for name in K.SCRIPT_RANGES:
-        found = letters_of(name)
-        count = F.regexp_count(t, F.lit(found))
-        each.append(F.struct(count.alias("count"), (-F.regexp_instr(t, F.lit(found))).alias("place"), F.lit(name).alias("script")))
-    return F.filter(F.array(*each), lambda x: x["count"] > 0)
+
+    def counted(rest: Column) -> Column:
+        each = []
+        for name in K.SCRIPT_RANGES:
+            found = F.lit(letters_of(name))
+            count = F.regexp_count(t if name == "Latin" else rest, found)
+            place = F.when(count > 0, -F.regexp_instr(t, found)).otherwise(0)
+            each.append(F.struct(count.alias("count"), place.alias("place"), F.lit(name).alias("script")))
+        return F.filter(F.array(*each), lambda x: x["count"] > 0)
+
+    return F.get(F.transform(F.array(beyond_latin(text)), counted), F.lit(0))
 
 
 def dominant_script(text: Column) -> Column:
@@ -64,28 +80,31 @@ def target_script(output: Column, source: Column) -> Column:
 
 def has_spaceless_script(text: Column) -> Column:
     """SCR-5: a letter of a script written without spaces."""
-    return F.coalesce(text, F.lit("")).rlike("|".join(letters_of(s) for s in K.SPACELESS_SCRIPTS))
+    return beyond_latin(text).rlike("|".join(letters_of(s) for s in K.SPACELESS_SCRIPTS))
 
 
 def needs_shaping(text: Column) -> Column:
     """SCR-6."""
-    return F.coalesce(text, F.lit("")).rlike(f"[{char_class(K.SHAPING_RANGES)}]")
+    return beyond_latin(text).rlike(f"[{char_class(K.SHAPING_RANGES)}]")
 
 
 def is_rtl(text: Column) -> Column:
     """SCR-7."""
-    return F.coalesce(text, F.lit("")).rlike(f"[{char_class(K.RTL_RANGES)}]")
+    return beyond_latin(text).rlike(f"[{char_class(K.RTL_RANGES)}]")
 
 
 def has_cjk(text: Column) -> Column:
     """SCR-8: a letter in the Han and kana blocks."""
-    return F.coalesce(text, F.lit("")).rlike(letters_of("CJK"))
+    return beyond_latin(text).rlike(letters_of("CJK"))
 
 
 def complex_scripts(text: Column) -> Column:
     """SCR-9: the scripts present whose shaping is probed, marks included."""
-    names = [F.when(F.coalesce(text, F.lit("")).rlike(f"[{char_class(r)}]"), F.lit(n)) for n, r in K.COMPLEX_SCRIPTS.items()]
-    return F.filter(F.array(*names), lambda n: n.isNotNull())
+
+    def present(rest: Column) -> Column:
+        return F.filter(F.array(*(F.when(rest.rlike(f"[{char_class(r)}]"), F.lit(n)) for n, r in K.COMPLEX_SCRIPTS.items())), lambda n: n.isNotNull())
+
+    return F.get(F.transform(F.array(beyond_latin(text)), present), F.lit(0))
 
 
 _HAN = ranges(K.HAN)

@@ -14,7 +14,7 @@ from scriptorium.functions import constants as K
 from scriptorium.functions.arrow import arrow_function
 
 #: White space at the ends of a text, Unicode spaces and separators included.
-EDGES = r"^[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+EDGES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _or_empty(text: Column) -> Column:
@@ -23,7 +23,7 @@ def _or_empty(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """The text without white space at its ends, Unicode spaces included."""
-    return F.regexp_replace(text, EDGES, "")
+    return F.btrim(text, F.lit(EDGES))
 
 
 def normalize_ws(text: Column) -> Column:

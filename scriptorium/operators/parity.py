@@ -105,6 +105,10 @@ def missing_targets(page_text: DataFrame, targets: DataFrame) -> DataFrame:
     return wanted.join(text, (F.col("doc_id") == F.col("t_doc")) & there, "left_anti").select("doc_id", "target")
 
 
+#: Up to so many phrases their keys, sixteen bytes each, are broadcast to the texts.
+BROADCAST_KEYS = 500_000
+
+
 def occurrences(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """Which phrases (item_id, text) stand verbatim in which texts (doc_id, text): (item_id, doc_id).
 
@@ -119,20 +123,26 @@ def occurrences(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     inner = listed.filter(F.size("w") > 2).select("item_id", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))).alias("parts"), F.lit(" ").alias("by"))
     brief = listed.filter(F.size("w") <= 2).select("item_id", F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(chars(F.col("phrase"))).alias("parts"), F.lit("").alias("by"))
     cut = inner.unionByName(brief).withColumn("n", F.least(F.lit(8), F.size("parts")))
-    keyed = cut.select("item_id", "by", "n", F.xxhash64("by", "n", F.array_join(F.slice("parts", 1, F.col("n")), "\x00")).alias("key"))
+    hashed = cut.withColumn("h", F.transform(F.slice("parts", 1, F.col("n")), lambda x: F.xxhash64(x)))
+    by_size = [F.when(F.col("n") == n, F.xxhash64("by", "n", *(F.get("h", F.lit(k)) for k in range(n)))) for n in range(9)]
+    keyed = hashed.select("item_id", "by", "n", F.coalesce(*by_size).alias("key"))
     sizes = sorted((r["by"], r["n"]) for r in keyed.select("by", "n").distinct().collect())  # at most 17 pairs
     if not sizes:
-        return phrases.select("item_id").limit(0).join(texts.select("doc_id").limit(0), F.lit(True))
+        return phrases.select("item_id", F.lit(None).cast(texts.schema["doc_id"].dataType).alias("doc_id")).filter(F.lit(False))
     starts = texts.filter("text is not null").select("doc_id", words(F.col("text")).alias("w"), chars(F.col("text")).alias("c"))
 
     def grams_of(by: str, n: int) -> Column:
-        parts = F.col("w" if by else "c")
-        places = F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))) if n else F.array(F.lit(1))
-        return F.transform(places, lambda i: F.xxhash64(F.lit(by), F.lit(n), F.array_join(F.slice(parts, i, n), "\x00")))
+        parts = F.transform(F.col("w" if by else "c"), lambda x: F.xxhash64(x))  # each part is hashed once
+        places = lambda h: F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))) if n else F.array(F.lit(0))
+        windows = lambda h: F.transform(places(h), lambda i: F.xxhash64(F.lit(by), F.lit(n), *(F.get(h, i + k) for k in range(n))))
+        return F.get(F.transform(F.array(parts), windows), F.lit(0))
 
     grams = F.flatten(F.array(*(grams_of(by, n) for by, n in sizes)))
-    met = starts.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    return met.join(texts.select("doc_id", "text"), "doc_id").join(listed.select("item_id", "phrase"), "item_id").filter(F.contains(F.col("text"), F.col("phrase"))).select("item_id", "doc_id")
+    pieces = starts.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
+    keys = keyed.select("key", "item_id")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS  # then nothing but what met a key is shuffled
+    met = pieces.join(F.broadcast(keys) if few else keys, "key").select("doc_id", "item_id").distinct()
+    return met.join(texts.select("doc_id", "text"), "doc_id").join(listed.select("item_id", "phrase"), "item_id").filter(F.contains(F.col("text"), F.col("phrase"))).select("item_id", "doc_id").distinct()
 
 
 def missing_identifiers(page_text: DataFrame, spans: DataFrame, allow: DataFrame | None = None) -> DataFrame:
@@ -174,7 +184,8 @@ def caption_overflows(buttons: DataFrame, advances: DataFrame) -> DataFrame:
     """
     size = F.when(F.col("font_size") > 0, F.col("font_size")).otherwise(F.greatest(F.lit(4.0), F.col("y1") - F.col("y0") - 4))
     chars = buttons.filter(F.trim("caption") != "").select("doc_id", "name", (F.col("x1") - F.col("x0") - 4).alias("room"), size.alias("size"), F.explode(F.split(F.trim("caption"), "")).alias("char"))
-    widths = chars.join(F.broadcast(advances), "char", "left").groupBy("doc_id", "name", "room", "size").agg(F.sum(F.coalesce("advance", F.lit(0.5))).alias("w"))
+    few = advances.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    widths = chars.join(F.broadcast(advances) if few else advances, "char", "left").groupBy("doc_id", "name", "room", "size").agg(F.sum(F.coalesce("advance", F.lit(0.5))).alias("w"))
     return widths.withColumn("width", F.col("w") * F.col("size")).filter("width > room").select("doc_id", "name", "width", "room")
 
 
@@ -218,10 +229,16 @@ def resolved_keys(keys: DataFrame, names: DataFrame) -> DataFrame:
     return named.select("doc_id", "key", "name", problem.alias("problem"))
 
 
+def missing_of(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
+    """SET-3: the distinct keys of ``expected`` that ``present`` lacks; nulls are equal to each other."""
+    return expected.select(*keys).distinct().exceptAll(present.select(*keys).distinct())
+
+
 def empty_targets(mapping: DataFrame, skip: DataFrame | None = None) -> DataFrame:
-    """(core) authored targets that hold nothing but white space, no-break spaces included; null is not authored."""
+    """(core, and doc_id where the mapping has one) authored targets that hold nothing but white space, no-break spaces
+    included; null is not authored."""
     found = mapping.filter("target is not null").filter(T.strip(T.fold_drift(T.strip_inline_markup(F.col("target")))) == "")
-    return (found.join(skip.select("core"), "core", "left_anti") if skip is not None else found).select("core").distinct()
+    return (found.join(skip.select("core"), "core", "left_anti") if skip is not None else found).select(*(c for c in ("doc_id", "core") if c in mapping.columns)).distinct()
 
 
 def metadata_misses(original: DataFrame, output: DataFrame, mapping: DataFrame, lang: str | None) -> DataFrame:

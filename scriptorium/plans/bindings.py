@@ -18,12 +18,12 @@ SQL_LINES = """lines AS (
   SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line_no, unnest(l) AS text
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 
-#: A line's first 40 characters are its core; columns of three points apart, rows of 14 points, widths by length.
+#: A line is its core; columns of three points apart, rows of 14 points, widths by length.
 SQL_SEGMENTS = f"""{SQL_LINES}, segments AS (
-  SELECT doc_id, line_no AS id, line_no // 12 AS page, trim(substr(text, 1, 40)) AS text, trim(substr(text, 1, 40)) AS core,
+  SELECT doc_id, line_no AS id, line_no // 12 AS page, trim(text) AS text, trim(text) AS core,
     CAST(72 + 3 * (length(text) % 3) AS DOUBLE) AS x0, CAST(14 * (line_no % 12) AS DOUBLE) AS y0,
-    CAST(72 + 3 * (length(text) % 3) + 5 * length(trim(substr(text, 1, 40))) AS DOUBLE) AS x1, CAST(14 * (line_no % 12) + 10 AS DOUBLE) AS y1,
-    CAST(10 AS DOUBLE) AS size, NOT regexp_matches(trim(substr(text, 1, 40)), '[\\p{{L}}]') AS passthrough
+    CAST(72 + 3 * (length(text) % 3) + 5 * length(trim(text)) AS DOUBLE) AS x1, CAST(14 * (line_no % 12) + 10 AS DOUBLE) AS y1,
+    CAST(10 AS DOUBLE) AS size, NOT regexp_matches(trim(text), '[\\p{{L}}]') AS passthrough
   FROM lines)"""
 
 SQL_PAIRS = """pairs AS (
@@ -36,7 +36,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.trim(F.substring("text", 1, 40))
+    shown = F.trim("text")
     left = (F.lit(72) + 3 * (F.length("text") % 3)).cast("double")
     top = (14 * (F.col("line_no") % LINES_A_PAGE)).cast("double")
     return lines(spark, sf_dir).select(

@@ -60,14 +60,14 @@ SELECT * FROM f"""
 
 
 def inconsistent_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document openings as cores in two spellings, their sources as targets."""
+    """Documents as cores in two spellings, their sources as targets."""
     docs = table(spark, sf_dir, "documents")
-    core = F.substring("text", 1, 24)
+    core = F.col("text")
     pairs = docs.select(F.when(F.col("doc_id") % 2 == 0, F.upper(core)).otherwise(core).alias("core"), F.concat("lang", F.lit(": "), "source").alias("target"))
     return qa.inconsistent(pairs).select("key", "n_members", "n_targets")
 
 
-INCONSISTENT = """WITH k AS (SELECT trim(regexp_replace(replace(lower(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN upper(substr(text, 1, 24)) ELSE substr(text, 1, 24) END, '\\p{P}', '', 'g')), 'ß', 'ss'), '\\s+', ' ', 'g')) AS key,
+INCONSISTENT = """WITH k AS (SELECT trim(regexp_replace(replace(lower(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN upper(text) ELSE text END, '\\p{P}', '', 'g')), 'ß', 'ss'), '\\s+', ' ', 'g')) AS key,
   trim(regexp_replace(concat(lang, ': ', source), '\\p{P}', '', 'g')) AS t FROM documents)
 SELECT key, count(*) AS n_members, count(DISTINCT t) AS n_targets FROM k GROUP BY key HAVING count(*) > 1 AND count(DISTINCT t) > 1"""
 
@@ -130,23 +130,24 @@ SELECT doc_id FROM t WHERE length({_WS.replace('@@', 'target')}) >= 2 AND NOT co
 
 
 def missing_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a quoted string, a form's name and an address, against its document."""
     docs = spread(table(spark, sf_dir, "documents"))
-    spans = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(F.lit(p), F.substring("text", 5, 10)).alias("snippet")) for k, p in (("quoted", ""), ("form-name", "Form "), ("url-or-email", "http://"))))).alias("s")).select("doc_id", "s.kind", "s.snippet")
+    spans = B.lines(spark, sf_dir).select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(F.lit(p), "text").alias("snippet")) for k, p in (("quoted", ""), ("form-name", "Form "), ("url-or-email", "http://"))))).alias("s")).select("doc_id", "s.kind", "s.snippet")
     allow = spans.filter("doc_id % 4 = 0").select("snippet")
     return parity.missing_identifiers(docs, spans, allow)
 
 
 _FOLD = "translate(@@, concat(chr(160), chr(8239), chr(8199), chr(8208), chr(8209), chr(173)), '   ---')"
-MISSING_IDENTIFIERS = f"""WITH s AS (SELECT doc_id, text, 'quoted' AS kind, substr(text, 5, 10) AS snippet FROM documents UNION ALL SELECT doc_id, text, 'form-name', 'Form ' || substr(text, 5, 10) FROM documents),
+MISSING_IDENTIFIERS = f"""WITH {B.SQL_LINES}, s AS (SELECT doc_id, d.text, l.text AS snippet FROM lines l JOIN documents d USING (doc_id) UNION SELECT doc_id, d.text, 'Form ' || l.text FROM lines l JOIN documents d USING (doc_id)),
 a AS (SELECT {_FOLD.replace('@@', 'snippet')} AS n FROM s WHERE doc_id % 4 = 0)
 SELECT doc_id, snippet FROM s WHERE length({_FOLD.replace('@@', 'snippet')}) >= 2 AND NOT contains({_FOLD.replace('@@', 'text')}, {_FOLD.replace('@@', 'snippet')}) AND {_FOLD.replace('@@', 'snippet')} NOT IN (SELECT n FROM a)"""
 
 
 def source_word_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a document's first line as its source words, the rest of it as output; one phrase in ten is kept."""
+    """Words of a document's first line as its source words, the whole as output; in one of ten that line is kept."""
     docs = spread(table(spark, sf_dir, "documents"))
     words = leaks.source_words(docs.select("doc_id", F.substring_index("text", "\n", 1).alias("text")))
-    keep = docs.filter("doc_id % 10 = 0").select("doc_id", F.substring("text", 1, 30).alias("phrase"))
+    keep = docs.filter("doc_id % 10 = 0").select("doc_id", F.substring_index("text", "\n", 1).alias("phrase"))
     return leaks.source_word_runs(docs, words, keep).select("doc_id", "start", "n_words", "bucket")
 
 
@@ -154,7 +155,7 @@ SOURCE_WORD_LEAKS = """WITH w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_ex
   SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z''\\-]*') AS l FROM documents)), h AS (
   SELECT t.*, pos - row_number() OVER (PARTITION BY t.doc_id ORDER BY pos) AS island FROM t JOIN w ON t.doc_id = w.doc_id AND lower(token) = word), r AS (
   SELECT doc_id, min(pos) AS start, count(*) AS n_words, string_agg(token, ' ' ORDER BY pos) AS run FROM h GROUP BY doc_id, island), k AS (
-  SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(substr(text, 1, 30)), '[\\p{L}\\p{M}]+'), lambda x: length(x) >= 4), ' ') AS key FROM documents WHERE doc_id % 10 = 0)
+  SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{M}]+'), lambda x: length(x) >= 4), ' ') AS key FROM documents WHERE doc_id % 10 = 0)
 SELECT doc_id, start, n_words, CASE WHEN n_words >= 3 THEN 'running' ELSE 'isolated' END AS bucket FROM r
 WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = r.doc_id AND k.key <> '' AND k.key = array_to_string(list_filter(regexp_extract_all(lower(run), '[\\p{L}\\p{M}]+'), lambda x: length(x) >= 4), ' '))"""
 
@@ -280,11 +281,11 @@ FROM part JOIN n ON n.source = p_name LEFT JOIN e ON e.source = p_name WHERE p_p
 
 
 def merged_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "documents").select(F.substring("text", 1, 10).alias("core"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("target"), F.col("doc_id").alias("ord"))
+    entries = table(spark, sf_dir, "documents").select(F.col("text").alias("core"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("target"), F.col("doc_id").alias("ord"))
     return qa.merged_mappings(entries).join(qa.merged_mappings(entries, last_wins=True).select("core", F.col("target").alias("last_target")), "core")
 
 
-MERGED_MAPPINGS = """WITH m AS (SELECT substr(text, 1, 10) AS core, CASE WHEN doc_id % 4 <> 0 THEN source END AS target, doc_id AS ord FROM documents)
+MERGED_MAPPINGS = """WITH m AS (SELECT text AS core, CASE WHEN doc_id % 4 <> 0 THEN source END AS target, doc_id AS ord FROM documents)
 SELECT core, arg_min(target, ord) FILTER (target IS NOT NULL) AS target, count(DISTINCT target) > 1 AS conflict, arg_max(target, ord) FILTER (target IS NOT NULL) AS last_target FROM m GROUP BY core"""
 
 

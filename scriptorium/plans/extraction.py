@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import constants as K
 from scriptorium.functions import scripts as S
 from scriptorium.functions import text as T
 from scriptorium.operators import content, leaks, parity
@@ -65,13 +66,13 @@ FROM i GROUP BY doc_id, page, island HAVING count(*) >= 2"""
 
 
 def narrow_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = B.segments(spark, sf_dir).withColumn("core", F.substring("core", 1, 12)).withColumn("x1", F.col("x0") + 5 * F.length("core"))
-    found = seg.narrow_columns(short)
+    # half a point a character, so that lines of the tables' lengths are on both sides of the width
+    found = seg.narrow_columns(B.segments(spark, sf_dir).withColumn("x1", F.col("x0") + F.length("core") / 2.0))
     return found.select("doc_id", "page", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "width")
 
 
-NARROW_COLUMNS = f"""WITH RECURSIVE {B.SQL_SEGMENTS}, s AS (SELECT doc_id, page, id, x0, y0, 5.0 * length(substr(core, 1, 12)) AS w, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, y0, id) AS rn
-  FROM segments WHERE NOT passthrough), f AS (
+NARROW_COLUMNS = f"""WITH RECURSIVE {B.SQL_SEGMENTS}, s AS (SELECT doc_id, page, id, x0, y0, length(core) / 2.0 AS w, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, y0, id) AS rn
+  FROM segments WHERE NOT passthrough AND length(core) / 2.0 < 90), f AS (
   SELECT doc_id, page, rn, id, w, x0 AS hx, y0 AS ly, 1 AS run FROM s WHERE rn = 1 UNION ALL
   SELECT s.doc_id, s.page, s.rn, s.id, s.w, CASE WHEN abs(s.x0 - hx) < 4 AND s.y0 - ly > 0.5 AND s.y0 - ly < 22 THEN hx ELSE s.x0 END, s.y0, CASE WHEN abs(s.x0 - hx) < 4 AND s.y0 - ly > 0.5 AND s.y0 - ly < 22 THEN run ELSE run + 1 END
   FROM f JOIN s ON s.doc_id = f.doc_id AND s.page = f.page AND s.rn = f.rn + 1)
@@ -95,8 +96,8 @@ HAVING count(*) >= 2 AND max(x0) - min(x0) > 4 AND count(*) FILTER (tucked) >= g
 
 
 def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first lines as spans whose distance depends on their length."""
-    words = B.lines(spark, sf_dir).filter("line_no < 3").select("doc_id", F.col("line_no"), F.posexplode(F.split("text", " ")).alias("span_no", "text"))
+    """Words of the lines as spans whose distance depends on their length."""
+    words = B.lines(spark, sf_dir).select("doc_id", F.col("line_no"), F.posexplode(F.split("text", " ")).alias("span_no", "text"))
     order = Window.partitionBy("doc_id", "line_no").orderBy("span_no")
     x1 = F.sum(5 * F.length("text") + 4 + 3 * (F.length("text") % 5)).over(order)
     spans = words.select("doc_id", F.lit(0).alias("page"), "line_no", "span_no", "text", (x1 - 3 * (F.length("text") % 5) - 4 - 5 * F.length("text")).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (x1 - 3 * (F.length("text") % 5) - 4).cast("double").alias("x1"), F.lit(10.0).alias("y1"), (F.length("text") > 12).alias("bold"), F.lit(False).alias("italic"))
@@ -105,7 +106,7 @@ def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GAP_GROUPS = f"""WITH {B.SQL_LINES}, w AS (
   SELECT doc_id, line_no, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS span_no, unnest(l) AS text
-  FROM (SELECT doc_id, line_no, string_split(text, ' ') AS l FROM lines WHERE line_no < 3)), p AS (
+  FROM (SELECT doc_id, line_no, string_split(text, ' ') AS l FROM lines)), p AS (
   SELECT *, sum(5 * length(text) + 4 + 3 * (length(text) % 5)) OVER (PARTITION BY doc_id, line_no ORDER BY span_no) AS e FROM w), s AS (
   SELECT doc_id, line_no, span_no, text, CAST(e - 3 * (length(text) % 5) - 4 - 5 * length(text) AS DOUBLE) AS x0, CAST(e - 3 * (length(text) % 5) - 4 AS DOUBLE) AS x1 FROM p), o AS (
   SELECT *, max(x1) OVER (PARTITION BY doc_id, line_no ORDER BY span_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s), g AS (
@@ -119,23 +120,31 @@ def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select("doc_id", S.dominant_script(text).alias("script"), S.has_spaceless_script(text).alias("spaceless"), S.needs_shaping(text).alias("shaping"), S.is_rtl(text).alias("rtl"), S.has_cjk(text).alias("cjk"), F.size(S.complex_scripts(text)).alias("n_complex"))
 
 
-SCRIPT_PROFILE = """SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-zªºÀ-ÖØ-öø-ɏ]') THEN 'Latin' END AS script,
-  regexp_matches(text, '[\\x{0E00}-\\x{0FFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]') AS spaceless,
-  regexp_matches(text, '[\\x{0600}-\\x{06FF}\\x{0900}-\\x{0FFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}]') AS shaping,
-  regexp_matches(text, '[\\x{0590}-\\x{08FF}\\x{FB1D}-\\x{FDFF}\\x{FE70}-\\x{FEFC}]') AS rtl, regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]') AS cjk,
-  CAST(CASE WHEN regexp_matches(text, '[\\x{0900}-\\x{0FFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{05B0}-\\x{05C7}]') THEN 1 ELSE 0 END AS INTEGER) AS n_complex FROM documents"""
+_RANGES = ", ".join(f"('{name}', {a}, {b})" for name, spans in K.SCRIPT_RANGES.items() for a, b in S.ranges(spans))
+_COMPLEX = ", ".join(f"('{name}', {a}, {b})" for name, spans in K.COMPLEX_SCRIPTS.items() for a, b in S.ranges(spans))
+_ANY = lambda spans: " OR ".join(f"c BETWEEN {a} AND {b}" for a, b in S.ranges(spans))
+#: Characters are counted by code point and looked up in the tables of ranges; only letters count towards a script.
+SCRIPT_PROFILE = f"""WITH r(script, lo, hi) AS (VALUES {_RANGES}), x(script, lo, hi) AS (VALUES {_COMPLEX}),
+p AS (SELECT doc_id, unnest(l) AS ch, generate_subscripts(l, 1) AS place FROM (SELECT doc_id, string_split(text, '') AS l FROM documents)),
+k AS (SELECT doc_id, unicode(ch) AS c, regexp_matches(ch, '\\p{{L}}') AS letter, count(*) AS n, min(place) AS place FROM p GROUP BY ALL),
+s AS (SELECT doc_id, script, sum(n) AS n, min(place) AS place FROM k JOIN r ON c BETWEEN lo AND hi WHERE letter GROUP BY ALL),
+m AS (SELECT doc_id, arg_max(script, (n, -place)) AS script, bool_or(script IN ({', '.join(f"'{n}'" for n in K.SPACELESS_SCRIPTS)})) AS spaceless, bool_or(script = 'CJK') AS cjk FROM s GROUP BY 1),
+f AS (SELECT doc_id, bool_or({_ANY(K.SHAPING_RANGES)}) AS shaping, bool_or({_ANY(K.RTL_RANGES)}) AS rtl FROM k GROUP BY 1),
+n AS (SELECT doc_id, count(DISTINCT script) AS n FROM k JOIN x ON c BETWEEN lo AND hi GROUP BY 1)
+SELECT doc_id, script, coalesce(spaceless, false) AS spaceless, coalesce(shaping, false) AS shaping, coalesce(rtl, false) AS rtl, coalesce(cjk, false) AS cjk, CAST(coalesce(n, 0) AS INTEGER) AS n_complex
+FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(T.normalize_ws(text)).alias("ws"), F.md5(T.fold_drift(text)).alias("folded"), F.md5(T.normalize_key(text)).alias("key"), F.md5(T.run_key(text)).alias("run_key"), T.last_char(text).alias("last_char"), F.md5(T.casefold(text)).alias("casefold"), F.hex(F.encode(F.substring(text, 1, 8), "UTF-16BE")).alias("hex"), T.has_double_space(text).alias("double_space"), T.has_space_before_punctuation(text).alias("loose"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(T.normalize_ws(text)).alias("ws"), F.md5(T.fold_drift(text)).alias("folded"), F.md5(T.normalize_key(text)).alias("key"), F.md5(T.run_key(text)).alias("run_key"), T.last_char(text).alias("last_char"), F.md5(T.casefold(text)).alias("casefold"), F.md5(T.utf16_hex(text)).alias("hex"), T.has_double_space(text).alias("double_space"), T.has_space_before_punctuation(text).alias("loose"))
 
 
 NORMALIZED_TEXT = """SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS ws, md5(translate(text, concat(chr(160), chr(8239), chr(8199), chr(8208), chr(8209), chr(173)), '   ---')) AS folded,
   md5(trim(regexp_replace(replace(lower(regexp_replace(text, '\\p{P}', '', 'g')), 'ß', 'ss'), '\\s+', ' ', 'g'))) AS key,
   md5(array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}]+'), lambda w: length(w) >= 4), ' ')) AS run_key,
   right(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1) AS last_char, md5(replace(lower(text), 'ß', 'ss')) AS casefold,
-  array_to_string(list_transform(range(1, length(substr(text, 1, 8)) + 1), lambda i: upper(lpad(to_hex(unicode(substr(text, i, 1))), 4, '0'))), '') AS hex,
+  md5(array_to_string(list_transform(string_split(text, ''), lambda c: upper(lpad(to_hex(unicode(c)), 4, '0'))), '')) AS hex,
   regexp_matches(text, '\\S {2,}\\S') AS double_space, regexp_matches(text, '\\s+[,.;:!?](?:\\s|$)') AS loose FROM documents"""
 
 
@@ -176,13 +185,13 @@ SELECT doc_id, lower(split_part(tag, '-', 1)) AS language, CASE WHEN k IN (2, 3)
 
 def drifted_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text with no-break spaces, soft hyphens and ligatures put in; every fifth document authored its hyphens."""
-    drift = F.replace(F.substring("text", 1, 400), F.lit(" a"), F.lit("\u00a0a"))
+    drift = F.replace("text", F.lit(" a"), F.lit("\u00a0a"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(drift, F.lit("\u00ad"), F.when(F.col("doc_id") % 3 == 0, F.lit("\ufb01")).otherwise(F.lit(""))).alias("text"))
     known = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0").select("doc_id", F.lit("\u00ad").alias("text"))
     return leaks.drifted_characters(docs, known).select("doc_id", F.hex(F.encode("char", "UTF-16BE")).alias("char"), "count")
 
 
-DRIFTED = """SELECT doc_id, '00A0' AS char, (length(substr(text, 1, 400)) - length(replace(substr(text, 1, 400), ' a', 'x'))) AS count FROM documents WHERE position(' a' IN substr(text, 1, 400)) > 0
+DRIFTED = """SELECT doc_id, '00A0' AS char, (length(text) - length(replace(text, ' a', 'x'))) AS count FROM documents WHERE position(' a' IN text) > 0
 UNION ALL SELECT doc_id, '00AD', 1 FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'FB01', 1 FROM documents WHERE doc_id % 3 = 0"""
 
 
@@ -245,11 +254,11 @@ SELECT merge_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max
 
 
 def document_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strings = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.trim(F.substring_index("text", "\n", 1)), F.concat(F.lit("Title "), "source"))).alias("text"))
+    strings = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.concat(F.transform(F.split("text", "\n"), F.trim), F.array(F.concat(F.lit("Title "), "source")))).alias("text"))
     return seg.document_only(strings, B.lines(spark, sf_dir).withColumn("core", F.trim("text")))
 
 
-DOCUMENT_ONLY = f"""WITH {B.SQL_LINES}, s AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS text FROM documents UNION SELECT doc_id, concat('Title ', source) FROM documents)
+DOCUMENT_ONLY = f"""WITH {B.SQL_LINES}, s AS (SELECT doc_id, trim(text) AS text FROM lines UNION SELECT doc_id, concat('Title ', source) FROM documents)
 SELECT DISTINCT doc_id, text FROM s WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = s.doc_id AND trim(l.text) = s.text)"""
 
 QUERIES = {
