@@ -214,7 +214,8 @@ def digests_with_neighbours(docs: DataFrame, radius: int = 3, every: int = 20) -
     compared = compared_with_next(docs)
     digest = F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256")
     rows = written(compared.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
-    asked = F.col("doc_id") % every == 0
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     near = within_radius(rows.filter(asked), rows, radius)
-    known = F.when(asked, F.col("fingerprint")).alias("fp")
-    return rows.withColumn("fp", known).join(near, "fp", "left").drop("fp")
+    answered = rows.filter(asked).join(near.withColumnRenamed("fp", "near_fp"), F.col("fingerprint") == F.col("near_fp"), "left").drop("near_fp")
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in near.schema if f.name != "fp"}
+    return answered.unionByName(rows.filter(~asked).withColumns(nothing))
