@@ -22,6 +22,7 @@ for that see ``near_copies``.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -79,12 +80,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def spanning_forest(fps: np.ndarray, names: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among the fingerprints (rows of 64-bit words) of one meeting place."""
+    """A spanning forest of the links among the fingerprints (rows of 64-bit words) of one meeting place.
+
+    Found breadth first from the smallest name on, so that the many places where the same family meets give much the
+    same links, to its smallest names.
+    """
+    order = np.argsort(names)
+    fps, names = fps[order], names[order]
     left = np.arange(len(fps))
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue, left = deque([left[0]]), left[1:]
         while queue and len(left):
-            node = queue.pop()
+            node = queue.popleft()
             near = np.bitwise_count(fps[left] ^ fps[node]).sum(axis=1, dtype=np.int64) <= radius
             hits, left = left[near], left[~near]
             for hit in hits.tolist():
