@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.arrow import arrow_function
 
+
+
+def in_name_order(objects: Column) -> Column:
+    """SRT-5: a map of named objects as entries sorted by name, so that every walk over them is the same."""
+    return F.array_sort(F.map_entries(objects))
+
+
 #: Fixed value: operators that show or place text, which go with their text object.
 TEXT_OPERATORS = "Tc Tw Tz TL Tf Tr Ts Td TD Tm T* Tj TJ ' \"".split()
 _TOKEN = re.compile(rb"%[^\r\n]*|\((?:\\.|[^()\\]|\((?:\\.|[^()\\])*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|[\[\]{}]|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+", re.S)

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 
 
+def fonts_in_use(fonts: Column, drawn: Column) -> Column:
+    """SET-4: the configured fonts (keys of a map) that something is drawn in, sorted."""
+    return F.array_sort(F.array_intersect(F.map_keys(fonts), drawn))
+
+
 def observed_style(weight: Column, selection: Column, mac_style: Column, angle: Column) -> Column:
     """SRC-10: bold and italic as a font program's tables state them: weight class and selection bits, then style bits
     and slant where those tables are absent."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import constants as K
+from scriptorium.functions import scripts as S
 from scriptorium.operators import layout, leaks, parity, raster
 from scriptorium.operators.parity import gate
 
@@ -47,14 +48,46 @@ def measured(name: str, probes: DataFrame) -> DataFrame:
     return _rows(name, worst.select("doc_id", F.when(F.col("w") == 2, "FAIL").when(F.col("w") == 1, "REVIEW").otherwise("PASS").alias("status"), "n_findings"))
 
 
-def report(inputs: dict[str, DataFrame], lang: str | None = None, allowed_prefix: str | None = None) -> DataFrame:
+def leak_scan(scans: DataFrame) -> DataFrame:
+    """Where the leak scan can't run: (doc_id, source_script, output_script, by_tell). Source and output in the same
+    script without spaces look alike to it: SKIP where the repertoire tell judged the document, else REVIEW. Other
+    documents have no row, as the scan's own gates speak for them."""
+    alike = (F.col("source_script") == F.col("output_script")) & F.col("source_script").isin(*K.SPACELESS_SCRIPTS)
+    told = F.coalesce("by_tell", F.lit(False))
+    rows = scans.filter(alike).select("doc_id", F.when(told, "SKIP").otherwise("REVIEW").alias("status"), F.when(told, 0).otherwise(1).alias("n_findings"))
+    return _rows("leak-scan", rows)
+
+
+def shaping(probes: DataFrame) -> DataFrame:
+    """Probes of shaping (doc_id, codepoints, naive, shaped, naive_font, shaped_font, expected_font) judged and rolled up."""
+    columns = ("codepoints", "naive", "shaped", "naive_font", "shaped_font", "expected_font")
+    return measured("conjunct-shaping", probes.select("doc_id", raster.shaping_verdict(*(F.col(c) for c in columns)).alias("status")))
+
+
+def han_forms(probes: DataFrame) -> DataFrame:
+    """Probes of Han faces (doc_id, face, character, own, other): a face is judged by its mean glyph differences from
+    its own and the other convention over all probed characters, a document by its worst face."""
+    means = probes.groupBy("doc_id", "face").agg(F.avg("own").alias("own"), F.avg("other").alias("other"), F.count_distinct("character").alias("n"))
+    return measured("han-forms", means.select("doc_id", raster.face_verdict(F.col("own"), F.col("other"), F.col("n")).alias("status")))
+
+
+def leak_cjk(lines: DataFrame, source: str, target: str, allow: list[str] | None = None) -> DataFrame:
+    """Lines (doc_id, line_no, text) judged by the repertoire tell; documents with Han or kana lines and no tell pass."""
+    told = leaks.tell_lines(lines, source, target, allow).select("doc_id", "status")
+    clean = lines.filter(S.has_cjk(F.col("text"))).select("doc_id", F.lit("PASS").alias("status")).distinct()
+    return measured("leak-cjk", told.unionByName(clean))
+
+
+def report(inputs: dict[str, DataFrame], lang: str | None = None, allowed_prefix: str | None = None, conventions: tuple[str, str] | None = None) -> DataFrame:
     """All gates that the inputs allow: (doc_id, gate, ord, status, n_findings).
 
     Names of inputs: documents (doc_id); fields, fields_out; options, options_out; widgets, widgets_out,
     widget_mapping; pages, pages_out; trials; ink_pages; blank_pages; visible_pages; text (doc_id, text); authored
     (doc_id, text); page_text (doc_id, page, text); lines (of pages, with boxes); runs (doc_id, run, bucket); tells;
     mapping (core, target); targets (doc_id, target); actual_text; captions, captions_out; wide_captions; overrides,
-    segments; strings, strings_out; scale; spans (doc_id, kind, snippet); shaping, faces, typography (probes).
+    segments; strings, strings_out; scale; spans (doc_id, kind, snippet); scans (see leak_scan). Measured probes are
+    judged here: shaping and faces (see shaping, han_forms), and cjk_lines between ``conventions`` (source, target);
+    where they come with a status of their own (doc_id, status), as tells and typography do, that is rolled up.
     """
     docs, has = inputs["documents"], inputs.keys().__contains__
     rows: list[DataFrame] = []
@@ -82,20 +115,30 @@ def report(inputs: dict[str, DataFrame], lang: str | None = None, allowed_prefix
         found = leaks.arabic_judged(inputs["page_text"])
         add(gate("arabic-letterforms", leaks.unshaped_arabic(inputs["page_text"]), found))
     if has("shaping"):
-        add(measured("conjunct-shaping", inputs["shaping"]))
+        probes = inputs["shaping"]
+        add(measured("conjunct-shaping", probes) if "status" in probes.columns else shaping(probes))
     if has("lines"):
         stacked = layout.stacks(inputs["lines"])
         add(gate("kinsoku", layout.kinsoku(stacked), layout.judged_documents(stacked), bad="REVIEW"))
     if has("faces"):
-        add(measured("han-forms", inputs["faces"]))
+        probes = inputs["faces"]
+        add(measured("han-forms", probes) if "status" in probes.columns else han_forms(probes))
+    if has("scans"):
+        add(leak_scan(inputs["scans"]))
+    if has("cjk_lines") and conventions:
+        add(leak_cjk(inputs["cjk_lines"], *conventions))
     if has("tells"):
         add(measured("leak-cjk", inputs["tells"]))
     if has("runs"):
         add(gate("leak-running", inputs["runs"].filter("bucket = 'running'"), docs))
         add(gate("leak-isolated", inputs["runs"].filter("bucket = 'isolated'"), docs, bad="REVIEW"))
     if has("mapping"):
-        empty = parity.empty_targets(inputs["mapping"]).limit(1)
-        add(gate("empty-targets", docs.join(empty, F.lit(True), "left_semi"), docs))
+        empty = parity.empty_targets(inputs["mapping"])
+        if "doc_id" in empty.columns:
+            add(gate("empty-targets", empty, docs))
+        else:  # one mapping for all documents: each of them has its empty targets
+            n = empty.count()
+            add(_rows("empty-targets", docs.select("doc_id").distinct().withColumns({"status": F.lit("FAIL" if n else "PASS"), "n_findings": F.lit(n)})))
     if has("targets"):
         add(gate("placement", parity.missing_targets(inputs["text"], inputs["targets"]), docs))
         if has("actual_text"):
@@ -105,7 +148,10 @@ def report(inputs: dict[str, DataFrame], lang: str | None = None, allowed_prefix
     if has("wide_captions"):
         add(gate("caption-width", inputs["wide_captions"], docs))
     if has("overrides"):
-        add(gate("override-markers", parity.override_misses(inputs["segments"], inputs["overrides"]), docs))
+        with_overrides = inputs["overrides"].select("doc_id").distinct()
+        add(gate("override-markers", parity.override_misses(inputs["segments"], inputs["overrides"]), docs.join(with_overrides, "doc_id", "left_semi")))
+        without = docs.select("doc_id").distinct().join(with_overrides, "doc_id", "left_anti")
+        add(_rows("override-markers", without.withColumns({"status": F.lit("SKIP"), "n_findings": F.lit(0)})))
     if has("strings"):
         add(gate("metadata", parity.metadata_misses(inputs["strings"], inputs["strings_out"], inputs["mapping"], lang), docs))
         if not lang:

@@ -43,6 +43,11 @@ def stacks(lines: DataFrame) -> DataFrame:
     return wanted.groupBy("doc_id", "page").applyInPandas(_stack_page, f"{kinds}, stack int, place int")
 
 
+def page_line_order(lines: DataFrame) -> DataFrame:
+    """SRT-3: lines (doc_id, page, line_no, x0, y0) with their place on the page: down it, then from left to right."""
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "line_no")) - 1)
+
+
 def kinsoku(stacked: DataFrame) -> DataFrame:
     """WIN-5: (doc_id, page, line_no, problem) lines that begin or end with a character their break forbids.
 

@@ -108,6 +108,13 @@ def united_lists(mappings: DataFrame, columns: list[str]) -> DataFrame:
     return members.groupBy("name").agg(F.sort_array(F.collect_list("member")).alias("members"))
 
 
+def concatenated(mappings: DataFrame, columns: list[str], order: str = "ord") -> DataFrame:
+    """SET-2: (name, ord, place, member) the members of list columns of several mappings one after the other, repeats
+    kept: by the mapping's place, then their own."""
+    one = mappings.select(F.col(order).alias("ord"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("members")) for c in columns))).alias("l"))
+    return one.select("l.name", "ord", F.posexplode("l.members").alias("place", "member"))
+
+
 def folded_proposals(merges: DataFrame, proposals: DataFrame) -> DataFrame:
     """SET-6: merges plus the proposals whose lines no merge of the document has yet; of equal proposals the first."""
     new = proposals.join(merges.select("doc_id", "lines"), ["doc_id", "lines"], "left_anti")

@@ -125,5 +125,24 @@ def merged_mappings(entries: DataFrame, last_wins: bool = False) -> DataFrame:
     )
 
 
+def qa_check(entries: DataFrame, skip: DataFrame | None = None, identifiers: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """QA-2: all findings of a mapping (core, target) in the report's order: (core, kind, severity, detail).
+
+    Null targets and skipped cores (core) are not checked. Pairs, consistency between pairs and, with ``terms``
+    (source, target), the glossary. Whether short targets are findings depends on the script of all targets together.
+    """
+    pairs = entries.filter("core is not null and target is not null").select("core", "target")
+    if skip is not None:
+        pairs = pairs.join(skip.select("core").distinct(), "core", "left_anti")
+    script = target_script(pairs).first()["script"]  # one row
+    found = [pair_findings(pairs, F.lit(script in K.SPACELESS_SCRIPTS), identifiers).select("core", "kind", "severity", "detail")]
+    apart = inconsistent(pairs)
+    found.append(apart.select("core", F.lit("consistency").alias("kind"), F.lit("warn").alias("severity"), F.concat("n_targets", F.lit(" translations")).alias("detail")))
+    if terms is not None:
+        missing = glossary_findings(pairs, terms)
+        found.append(missing.select("core", F.lit("glossary").alias("kind"), F.lit("error").alias("severity"), F.concat("term", F.lit(" > "), "term_target").alias("detail")))
+    return ordered(reduce(DataFrame.unionByName, found))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import gates, geometry, layout, leaks, mapping
+from scriptorium.functions import scripts as S
+from scriptorium.operators import content, gates, geometry, layout, leaks, mapping, parity
+from scriptorium.operators import fonts as font_ops
 from scriptorium.operators import segments as seg
 from scriptorium.plans import bindings as B
 from scriptorium.tables import spread, table
@@ -134,7 +136,74 @@ UNION ALL SELECT k, 'scaled-runs', 25, CASE WHEN k % 2 = 1 THEN 'SKIP' WHEN k %
 UNION ALL SELECT k, 'ink-ratio', 6, CASE WHEN k % 50 < 20 THEN 'SKIP' WHEN (k % 90) / (k % 50) BETWEEN 0.4 AND 3.0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN k % 50 < 20 OR (k % 90) / (k % 50) BETWEEN 0.4 AND 3.0 THEN 0 ELSE 1 END FROM d
 UNION ALL SELECT k, 'conjunct-shaping', 10, CASE WHEN k % 20 = 0 THEN 'REVIEW' ELSE 'PASS' END, CAST(k % 20 = 0 AS BIGINT) FROM d WHERE k % 10 = 0"""
 
+def concatenated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as mappings with two lists."""
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.array("o_orderstatus", "o_orderpriority", "o_orderstatus").alias("merges"), F.array(F.col("o_custkey").cast("string")).alias("overrides"))
+    return mapping.concatenated(files, ["merges", "overrides"])
+
+
+CONCATENATED_LISTS = """SELECT 'merges' AS name, o_orderkey AS ord, place, CASE place WHEN 1 THEN o_orderpriority ELSE o_orderstatus END AS member FROM orders, (SELECT CAST(unnest(range(3)) AS INTEGER) AS place)
+UNION ALL SELECT 'overrides', o_orderkey, 0, CAST(o_custkey AS VARCHAR) FROM orders"""
+
+
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as fields of nations; those without an urgent order are missing from the output."""
+    fields = table(spark, sf_dir, "customer").select((F.col("c_nationkey")).alias("doc_id"), F.col("c_custkey").cast("string").alias("name"))
+    ordered = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("name")).join(fields, "name")
+    return parity.missing_of(fields, ordered, ["doc_id", "name"])
+
+
+MISSING_FIELDS = "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')"
+
+
+def fonts_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Return flags and line states of an order as the fonts that are drawn, a fixed map as those that are configured."""
+    fonts = F.create_map(*(F.lit(x) for pair in (("N", "Sans"), ("R", "Serif"), ("O", "Mono"), ("X", "None")) for x in pair))
+    drawn = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set("l_returnflag").alias("drawn"))
+    return drawn.select("doc_id", F.array_join(font_ops.fonts_in_use(fonts, F.col("drawn")), ",").alias("fonts"))
+
+
+FONTS_IN_USE = "SELECT l_orderkey AS doc_id, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) FILTER (l_returnflag IN ('N', 'R', 'O', 'X')), '') AS fonts FROM lineitem GROUP BY 1"
+
+
+def object_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a part as named objects of a page."""
+    objects = F.create_map(F.col("p_type"), F.col("p_partkey"), F.concat("p_brand", F.lit("/2")), F.col("p_partkey") + 1, F.lit("Im0"), F.col("p_partkey") + 2)
+    entries = F.transform(content.in_name_order(objects), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(entries, ";").alias("objects"))
+
+
+OBJECT_ORDER = "SELECT p_partkey, array_to_string(list_sort([concat(p_type, '=', p_partkey), concat(p_brand, '/2=', p_partkey + 1), concat('Im0=', p_partkey + 2)]), ';') AS objects FROM part"
+
+
+def page_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of pages."""
+    k = F.col("p_partkey")
+    lines = table(spark, sf_dir, "part").select((k % 40).alias("doc_id"), (k % 3).alias("page"), k.alias("line_no"), ((k * 37) % 50).alias("x0"), ((k * 91) % 70).alias("y0"))
+    return layout.page_line_order(lines).select("doc_id", "page", "line_no", "place")
+
+
+PAGE_LINE_ORDER = "SELECT p_partkey % 40 AS doc_id, p_partkey % 3 AS page, p_partkey AS line_no, CAST(row_number() OVER (PARTITION BY p_partkey % 40, p_partkey % 3 ORDER BY (p_partkey * 91) % 70, (p_partkey * 37) % 50, p_partkey) - 1 AS INTEGER) AS place FROM part"
+
+
+def leak_scan_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with Han and Thai put in by number as sources and outputs; the tell judged every third."""
+    k = F.col("doc_id")
+    said = lambda n: F.element_at(F.array(F.lit("文字文字"), F.lit("ข้อความ"), F.lit("plain words")), (k % n % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", S.dominant_script(said(7)).alias("source_script"), S.dominant_script(said(5)).alias("output_script"), (k % 3 == 0).alias("by_tell"))
+    return gates.leak_scan(docs)
+
+
+LEAK_SCAN_GATE = """SELECT doc_id, 'leak-scan' AS gate, 13 AS ord, CASE WHEN doc_id % 3 = 0 THEN 'SKIP' ELSE 'REVIEW' END AS status, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS n_findings
+FROM documents WHERE doc_id % 7 % 3 = doc_id % 5 % 3 AND doc_id % 7 % 3 < 2"""
+
 QUERIES = {
+    "concatenated_lists": (concatenated_lists, CONCATENATED_LISTS),
+    "missing_fields": (missing_fields, MISSING_FIELDS),
+    "fonts_in_use": (fonts_in_use, FONTS_IN_USE),
+    "object_order": (object_order, OBJECT_ORDER),
+    "page_line_order": (page_line_order, PAGE_LINE_ORDER),
+    "leak_scan_gate": (leak_scan_gate, LEAK_SCAN_GATE),
     "merge_matches": (merge_matches, MERGE_MATCHES),
     "advanced_parts": (advanced_parts, ADVANCED_PARTS),
     "corpus_summary": (corpus_summary, CORPUS_SUMMARY),

@@ -237,9 +237,22 @@ def read_widget_mappings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_termbase(merged: DataFrame, path: str) -> None:
-    """SNK-6: the added pairs of a termbase merge as a new CSV file of the termbase; conflicts are never written, so
-    appending the same rows again adds nothing."""
-    merged.filter("action = 'added'").orderBy("ord").select(F.col("source").alias("source term"), F.col("target").alias("target term")).coalesce(1).write.mode("append").option("header", True).csv(path)
+    """SNK-6: the added pairs of a termbase merge as a new CSV file of the termbase; conflicts are never written.
+
+    Sources that the folder already has are left out, so a call that is tried again adds nothing."""
+    spark = merged.sparkSession
+    added = merged.filter("action = 'added'").select("ord", F.col("source").alias("source term"), F.col("target").alias("target term"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        there = spark.read.schema("`source term` string, `target term` string").option("header", True).csv(path)
+        added = added.join(there.select("source term").distinct(), "source term", "left_anti")
+    added.orderBy("ord").select("source term", "target term").coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def write_review_state(verdicts: DataFrame, path: str, run_at: str) -> None:
+    """SNK-7: the state of review of every job (doc_id, present, review_line, blocks_delivery, counts) as JSON, written
+    anew on each run with the time of the run; jobs without a review are written too."""
+    verdicts.withColumn("run_at", F.lit(run_at)).write.mode("overwrite").json(path)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, captured_at: str) -> None:

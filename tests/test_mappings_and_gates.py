@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.operators import qa
+from scriptorium.sources import documents
 from scriptorium.operators import gates, geometry, mapping
 from scriptorium.operators import segments as seg
 
@@ -128,12 +130,50 @@ def test_report_of_all_gates(spark):
         "extractable-text": ("FAIL", None), "ink-ratio": ("FAIL", "PASS"), "visible-text": ("FAIL", "PASS"), "canonical-text": ("FAIL", "PASS"), "arabic-letterforms": ("FAIL", None),
         "conjunct-shaping": ("FAIL", None), "kinsoku": ("REVIEW", None), "han-forms": (None, "REVIEW"), "leak-cjk": ("FAIL", None), "leak-running": ("FAIL", "PASS"), "leak-isolated": ("PASS", "REVIEW"),
         "empty-targets": ("PASS", "PASS"), "placement": ("PASS", "FAIL"), "shaped-actualtext": ("PASS", "PASS"), "button-captions": ("FAIL", "PASS"), "caption-width": ("PASS", "FAIL"),
-        "override-markers": ("FAIL", "PASS"), "metadata": ("FAIL", "PASS"), "metadata-lang": ("REVIEW", "REVIEW"), "scaled-runs": ("REVIEW", "SKIP"), "identifiers": ("PASS", "FAIL"), "typography": ("PASS", None),
+        "override-markers": ("FAIL", "SKIP"), "metadata": ("FAIL", "PASS"), "metadata-lang": ("REVIEW", "REVIEW"), "scaled-runs": ("REVIEW", "SKIP"), "identifiers": ("PASS", "FAIL"), "typography": ("PASS", None),
     }
     assert found == {(g, d): s for g, both in wanted.items() for d, s in zip((1, 2), both) if s}
     assert gates.report({"documents": docs}).collect() == []
 
 
+def test_gates_judge_their_own_rows(spark):
+    """leak-scan, conjunct-shaping, han-forms and leak-cjk from scripts, probes and lines; empty targets by document."""
+    make = spark.createDataFrame
+    inputs = {
+        "documents": make([(1,), (2,), (3,)], "doc_id long"),
+        "scans": make([(1, "CJK", "CJK", True), (2, "CJK", "CJK", None), (3, "Latin", "Latin", False)], "doc_id long, source_script string, output_script string, by_tell boolean"),
+        "shaping": make([(1, 4, 4, 3, "Noto Sans", "NotoSans", "noto-sans"), (2, 4, 4, 4, "A", "A", "A"), (3, 4, 4, 3, "A", "B", "A")], "doc_id long, codepoints int, naive int, shaped int, naive_font string, shaped_font string, expected_font string"),
+        "faces": make([(1, "f", "直", 0.0, 0.3), (1, "f", "骨", 0.01, 0.2), (2, "f", "直", 0.3, 0.0), (2, "f", "骨", 0.2, 0.01), (3, "f", "直", 0.0, 0.3)], "doc_id long, face string, character string, own double, other double"),
+        "cjk_lines": make([(1, 0, "漢字だけ"), (2, 0, "plain")], "doc_id long, line_no int, text string"),
+        "mapping": make([(1, "a", " \u00a0"), (2, "a", "x"), (2, "b", None)], "doc_id long, core string, target string"),
+    }
+    found = {(r["gate"], r["doc_id"]): (r["status"], r["n_findings"]) for r in gates.report(inputs, conventions=("JP", "SC")).collect()}
+    assert {k: v[0] for k, v in found.items() if k[0] == "leak-scan"} == {("leak-scan", 1): "SKIP", ("leak-scan", 2): "REVIEW"}
+    assert [found["conjunct-shaping", d][0] for d in (1, 2, 3)] == ["PASS", "FAIL", "FAIL"]
+    assert [found["han-forms", d][0] for d in (1, 2, 3)] == ["PASS", "FAIL", "REVIEW"]
+    assert found["leak-cjk", 1][0] in ("FAIL", "REVIEW") and ("leak-cjk", 2) not in found
+    assert [found["empty-targets", d] for d in (1, 2, 3)] == [("FAIL", 1), ("PASS", 0), ("PASS", 0)]
+
+
+def test_qa_driver(spark):
+    make = spark.createDataFrame
+    entries = make([("Pay 5 now", "Zahle 6 jetzt"), ("pay 5 now!", "Zahle 5 jetzt!"), ("skipped 1", "2"), ("null one", None), ("the form", "das Blatt")], "core string, target string")
+    out = qa.qa_check(entries, make([("skipped 1",)], "core string"), None, make([("form", "Formular")], "source string, target string")).collect()
+    assert [(r["core"], r["kind"], r["severity"]) for r in out] == [("the form", "glossary", "error"), ("Pay 5 now", "numbers", "error"), ("Pay 5 now", "consistency", "warn")]
+
+
+def test_termbase_and_review_state_can_be_written_again(spark, tmp_path):
+    merged = spark.createDataFrame([(1, "a", "b", "added"), (2, "c", "d", "conflict"), (3, "e", "f", "added")], "ord int, source string, target string, action string")
+    for _ in range(2):
+        documents.append_termbase(merged, f"{tmp_path}/terms")
+    documents.append_termbase(spark.createDataFrame([(4, "g", "h", "added")], merged.schema), f"{tmp_path}/terms")
+    assert sorted(map(tuple, spark.read.option("header", True).csv(f"{tmp_path}/terms").collect())) == [("a", "b"), ("e", "f"), ("g", "h")]
+    verdicts = spark.createDataFrame([(1, True, "open"), (2, False, "no-reviser")], "doc_id long, present boolean, review_line string")
+    for at in ("t1", "t2"):
+        documents.write_review_state(verdicts, f"{tmp_path}/state", at)
+    assert {(r["doc_id"], r["run_at"]) for r in spark.read.json(f"{tmp_path}/state").collect()} == {(1, "t2"), (2, "t2")}
+
+
 def test_scaled_runs_and_captures(spark):
     runs = spark.createDataFrame([(1, 1, "b", 0.9), (1, None, "a", 0.8), (1, 0, "c", 0.5)], "doc_id long, page int, key string, ratio double")
     assert [r["key"] for r in geometry.scaled_in_order(runs, 2).collect()] == ["a", "c"]
