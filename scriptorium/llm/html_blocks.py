@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import lru_cache
 from html import unescape
 
 from scriptorium.llm.html_names import group_of_names
@@ -67,6 +68,7 @@ class Block:
 _ROOT = Element("none", None, -1, None)
 
 
+@lru_cache(maxsize=1 << 14)
 def _mark_of(tag: str, attributes: str) -> str | None:
     """What an element says it holds; the names of the page's own elements describe the page instead."""
     if tag in ("html", "body"):

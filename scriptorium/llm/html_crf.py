@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,6 +26,16 @@ CUES = {
     "more": r"^(?:related|more|recommended|popular|trending|latest|read more|you may also like)\b.{0,30}$|\badvertisement\b",
 }
 _CUES = {name: re.compile(pattern, re.I) for name, pattern in CUES.items()}
+#: What a text must hold in lower case, or how short it must be, for a cue to be looked for at all.
+_NEEDS = {
+    "consent": (("cookie",), 0),
+    "rights": (("rights reserved", "copyright", "©", "droits", "rechte", "derechos"), 0),
+    "letter": (("subscribe to", "sign up", "newsletter", "mailing list"), 0),
+    "account": (("password",), 40),
+    "share": ((), 60),
+    "talk": (("comment", "repl", "response", "says", "wrote"), 0),
+    "more": (("advertisement",), 60),
+}
 _MAIN_MARKS = frozenset(("article", "main"))
 
 
@@ -33,36 +44,58 @@ def page_has_main(blocks: list[Block]) -> bool:
     return any(not _MAIN_MARKS.isdisjoint(b.element.marks) for b in blocks)
 
 
-def features(block: Block, has_main: bool) -> list[str]:
-    """The names of the features that hold for a block of a page that has, or has not, an element for the main text."""
-    element, text = block.element, block.text
-    marks = element.marks
+def place_features(own: str, marks: tuple[str, ...], has_main: bool) -> tuple[str, list[str]]:
+    """Whether the place is in the main text's element, and the features of the place alone."""
     near = marks[0] if marks else "none"
     path = f"{near}<{marks[1] if len(marks) > 1 else 'none'}"
-    out = ["bias", f"own:{element.own}", f"near:{near}", f"path:{path}", f"own+path:{element.own}|{path}"]
-    out += [f"far:{m}" for m in marks[1:]]
     inside = "none" if not has_main else "in" if not _MAIN_MARKS.isdisjoint(marks) else "out"
+    return inside, ["bias", f"own:{own}", f"near:{near}", f"path:{path}", f"own+path:{own}|{path}", *(f"far:{m}" for m in marks[1:]), f"page:{inside}"]
+
+
+def text_features(block: Block, inside: str) -> list[str]:
+    """The features of a block's text, its links, and both with the place."""
+    text = block.text
     words = text.count(" ") + 1
     size = "1" if words == 1 else "2-4" if words < 5 else "5-14" if words < 15 else "15-"
     linked = block.link_chars / max(1, len(text))
     links = "none" if linked == 0 else "some" if linked < 0.5 else "most"
-    out += [f"page:{inside}", f"words:{size}", f"links:{links}", f"links+page:{links}|{inside}"]
+    out = [f"words:{size}", f"links:{links}", f"links+page:{links}|{inside}"]
     if text[-1] in ".!?…":
         out.append("closed")
-    for name, pattern in _CUES.items():
-        if pattern.search(text):
+    lowered = text.lower()
+    for name, (literals, short) in _NEEDS.items():
+        if (len(text) <= short or any(x in lowered for x in literals)) and _CUES[name].search(text):
+            near = block.element.marks[0] if block.element.marks else "none"
             out += [f"cue:{name}", f"cue+page:{name}|{inside}", f"cue+near:{'main' if near in _MAIN_MARKS else 'other'}|{size}"]
     return out
 
 
+def features(block: Block, has_main: bool) -> list[str]:
+    """The names of the features that hold for a block of a page that has, or has not, an element for the main text."""
+    inside, out = place_features(block.element.own, block.element.marks, has_main)
+    return out + text_features(block, inside)
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     moves: np.ndarray  # 2 x 2
 
+    def __post_init__(self) -> None:
+        @lru_cache(maxsize=1 << 14)
+        def of_place(own: str, marks: tuple[str, ...], has_main: bool) -> tuple[str, float]:
+            inside, names = place_features(own, marks, has_main)
+            return inside, sum(self.weights.get(f, 0.0) for f in names)
+
+        self.of_place = of_place
+
     def scores(self, blocks: list[Block]) -> list[float]:
         get, has_main = self.weights.get, page_has_main(blocks)
-        return [sum(get(f, 0.0) for f in features(b, has_main)) for b in blocks]
+        out = []
+        for b in blocks:
+            inside, score = self.of_place(b.element.own, b.element.marks, has_main)
+            out.append(score + sum(get(f, 0.0) for f in text_features(b, inside)))
+        return out
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The best label sequence by Viterbi; ties go to label 1."""

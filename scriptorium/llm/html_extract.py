@@ -20,6 +20,11 @@ def default_model() -> str:
     return MODEL_FILE.read_text()
 
 
+@lru_cache(maxsize=2)
+def _model(packed: str) -> Model:
+    return Model.from_json(packed)
+
+
 def main_text(html: str, model: Model) -> str:
     """The main blocks of a page, one a line; empty if it has none."""
     blocks = leaf_blocks(html)
@@ -37,7 +42,7 @@ def extracted(pages: DataFrame, model_json: str | None = None) -> DataFrame:
     packed = model_json or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.from_json(packed)
+        model = _model(packed)
         for batch in batches:
             texts = [main_text(h, model) if h else "" for h in batch.column(2).to_pylist()]
             counts = pa.array([len(t) for t in texts], pa.int64())

@@ -120,6 +120,15 @@ def near_links(nodes: DataFrame, radius: int, block_rows: int = 20_000) -> DataF
     return in_blocks(shared, ["key"], block_rows).select("members.fp", "members.rep").mapInArrow(_forests(radius), "u long, v long")
 
 
+def with_fewer_links(links: DataFrame) -> DataFrame:
+    """Links (u, v) with the same components as ``links`` (parent u, child v): each child and its parents linked to the
+    least of them. A family that meets at many places has many parents a child, and their links become few. A child has
+    one parent in each place, or pair of blocks, at most, so its list is short whatever the family's size."""
+    parents = links.groupBy("v").agg(F.collect_set("u").alias("parents"))
+    least = parents.select(F.array_append("parents", F.col("v")).alias("all")).select("all", F.array_min("all").alias("least"))
+    return least.select(F.explode("all").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
+
+
 def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block_rows: int = 20_000) -> DataFrame:
     """(group, fp, first) for each distinct fingerprint of ``docs`` (doc_id, text).
 
@@ -132,7 +141,7 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, b
     distinct = prints.groupBy("fp").agg(F.min("unsure").alias("unsure"), least)
     # the numbers are given while the table is written, so they are fixed afterwards
     nodes = written(distinct.select(F.monotonically_increasing_id().alias("node"), "fp", "unsure", "first"))
-    roots = component_roots(near_links(nodes, radius_of(similarity), block_rows)).withColumnRenamed("node", "of")
+    roots = component_roots(with_fewer_links(near_links(nodes, radius_of(similarity), block_rows))).withColumnRenamed("node", "of")
     return nodes.join(roots, nodes["node"] == roots["of"], "left").select(F.coalesce("root", "node").alias("group"), "fp", "first")
 
 
