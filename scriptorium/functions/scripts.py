@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -171,10 +172,23 @@ def drifted(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[{char_class(K.DRIFT_RANGES)}]"), F.lit(0))
 
 
+@cache
+def latin_letters() -> str:
+    """The inside of a class of the letters whose Unicode name says LATIN, read from the names: the script property also
+    holds ordinal and unit signs and modifier letters, whose names do not."""
+    found = [c for c in range(0x20000) if unicodedata.category(chr(c))[0] == "L" and "LATIN" in unicodedata.name(chr(c), "")]
+    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
+    return char_class(" ".join(f"{a:X}-{b:X}" for a, b in zip(starts, ends)))
+
+
 def is_plain_text(text: Column) -> Column:
-    """SCR-15: only letters, marks of composed text, digits, punctuation, symbols and plain spaces: no controls,
-    format characters, private use or unassigned code points."""
-    return ~F.coalesce(text, F.lit("")).rlike(r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Cs}\p{Zl}\p{Zp}]")
+    """SCR-15: the repertoire of styled targets: Latin, Han and kana letters, digits of ASCII and full width, spaces,
+    punctuation and symbols. Marks, controls, other scripts' letters and numbers, pictographs and the weight split are
+    out; so are line breaks, and code points newer than the JVM's Unicode tables. Null is plain."""
+    letters = f"[\\p{{L}}&&[^{latin_letters()}{char_class(K.SCRIPT_RANGES['CJK'])}々]]"
+    other = r"[\p{M}\p{C}‖]|[\p{N}&&[^0-9\x{ff10}-\x{ff19}]]|[\p{So}&&[\x{1f000}-\x{10ffff}]]"
+    return ~F.coalesce(text, F.lit("")).rlike(f"{other}|{letters}")
 
 
 def characters(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import scripts as S
 from scriptorium.functions import text as T
+from scriptorium.operators.validation import broken, odd_ink, odd_numbers
 
 
 def merge_matches(segments: DataFrame, merges: DataFrame) -> DataFrame:
@@ -50,43 +51,48 @@ def with_body_offset(segments: DataFrame, characters: DataFrame) -> DataFrame:
     return seen.select("doc_id", "id", F.when(F.col("_got") == F.col("_want"), offset).alias("body_dx"))
 
 
-def extraction_violations(segments: DataFrame, pages: DataFrame) -> DataFrame:
+def extraction_violations(segments: DataFrame, pages: DataFrame, fonts: DataFrame) -> DataFrame:
     """MAP-2: (doc_id, id, rule) broken invariants of extracted segments (doc_id, id, occurrence_id, page, text, bbox,
-    origin, dir, size, color, style_runs) against the selected pages (doc_id, page).
+    origin, dir, size, color, style_runs) against the selected pages (doc_id, page) and fonts (doc_id, font_id).
 
     Identities name the segment and are unique; pages are selected ones; geometry is finite and of its length; runs
-    are named after their segment, tile the text by their offsets, and spell it.
+    (run_id, text, offsets, origin, bbox, size, color, font_id) are named after their segment, tile the text by their
+    offsets, spell it, have geometry of their own, and name no font that was not observed.
     """
-    odd = lambda c, n: F.coalesce(F.size(c) != n, F.lit(True)) | F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     known = pages.select("doc_id", "page").distinct().withColumn("_known", F.lit(True))
-    out = segments.join(known, ["doc_id", "page"], "left").withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "occurrence_id")))
+    observed = fonts.groupBy("doc_id").agg(F.collect_set("font_id").alias("_fonts"))
+    out = segments.join(known, ["doc_id", "page"], "left").join(observed, "doc_id", "left")
+    out = out.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "occurrence_id")))
     runs = F.coalesce("style_runs", F.array().cast(dict(segments.dtypes)["style_runs"]))
     tiled = F.aggregate(
         runs,
         F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")),
         lambda acc, r: F.struct(
             (acc["at"] + F.length(r["text"])).alias("at"),
-            (acc["ok"] & (F.get(r["offsets"], F.lit(0)) == acc["at"]) & (F.get(r["offsets"], F.lit(1)) == acc["at"] + F.length(r["text"])) & (F.substr(F.col("text"), acc["at"] + 1, F.length(r["text"])) == r["text"])).alias("ok"),
+            (acc["ok"] & r["offsets"].eqNullSafe(F.array(acc["at"], acc["at"] + F.length(r["text"]))) & (F.substr(F.col("text"), acc["at"] + 1, F.length(r["text"])) == r["text"])).alias("ok"),
         ),
         lambda acc: acc["ok"] & (acc["at"] == F.length("text")),
     )
     names = F.transform(runs, lambda r: r["run_id"])
+    named = lambda n: F.coalesce(n.startswith(F.concat("occurrence_id", F.lit("/r"))) & n.rlike("/r[0-9]+$") & (F.locate("/", n) == F.length("occurrence_id") + 1), F.lit(False))
+    stray = lambda r: r["font_id"].isNotNull() & ~F.coalesce(F.array_contains("_fonts", r["font_id"]), F.lit(False))
     rules = {
-        "identity": ~F.col("occurrence_id").eqNullSafe(F.concat(F.lit("s"), F.col("id").cast("string"))),
+        "identity": F.coalesce(F.col("id") < 0, F.lit(True)) | ~F.col("occurrence_id").eqNullSafe(F.concat(F.lit("s"), F.col("id").cast("string"))),
         "duplicate": F.col("_same") > 1,
         "page": F.col("_known").isNull(),
         "text": F.col("text").isNull(),
-        "box": odd(F.col("bbox"), 4),
-        "origin": odd(F.col("origin"), 2),
-        "direction": odd(F.col("dir"), 2),
-        "size": F.col("size").isNull() | F.isnan("size") | (F.col("size") <= 0),
-        "colour": F.col("color").isNull() | (F.col("color") < 0) | (F.col("color") > 0xFFFFFF),
+        "box": odd_numbers(F.col("bbox"), 4),
+        "origin": odd_numbers(F.col("origin"), 2),
+        "direction": odd_numbers(F.col("dir"), 2),
+        "size": odd_ink(F.col("size"), F.lit(0)),
+        "colour": odd_ink(F.lit(1.0), F.col("color")),
         "no-runs": F.size(runs) == 0,
-        "run-names": (F.size(F.array_distinct(names)) != F.size(names)) | F.exists(names, lambda n: ~n.startswith(F.concat("occurrence_id", F.lit("/r")))),
+        "run-names": (F.size(F.array_distinct(names)) != F.size(names)) | F.exists(names, lambda n: ~named(n)),
         "run-tiling": (F.size(runs) > 0) & ~F.coalesce(tiled, F.lit(False)),
+        "run-geometry": F.exists(runs, lambda r: odd_numbers(r["origin"], 2) | odd_numbers(r["bbox"], 4) | F.coalesce(odd_ink(r["size"], r["color"]), F.lit(True))),
+        "run-font": F.exists(runs, stray),
     }
-    broken = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda r: r.isNotNull())
-    return out.select("doc_id", "id", F.explode(broken).alias("rule"))
+    return out.select("doc_id", "id", F.explode(broken(rules)).alias("rule"))
 
 
 def notice_violations(notices: DataFrame, page_counts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import scripts as S
-from scriptorium.operators import content, gates, geometry, layout, leaks, mapping, parity
+from scriptorium.operators import content, gates, geometry, layout, leaks, mapping, parity, validation
 from scriptorium.operators import fonts as font_ops
 from scriptorium.operators import segments as seg
 from scriptorium.plans import bindings as B
@@ -156,6 +156,40 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 MISSING_FIELDS = "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')"
 
 
+def target_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as occurrences of their customer, lines as style runs whose font is the return flag: A serif, R bold sans,
+    N not resolved. All but half-open orders are authored, a run a line state that names its lines of up to 45 pieces;
+    customers of one segment lack the bold face."""
+    name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"), name("o_orderkey").alias("occurrence_id"), "o_orderstatus")
+    run = F.concat(name("l_orderkey"), F.lit("/r"), F.col("l_linenumber").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), run.alias("run_id"), "l_returnflag", "l_linestatus", "l_quantity")
+    by_order = lines.groupBy("k").agg(F.collect_list(F.struct("run_id", F.lit("x").alias("text"), F.col("l_returnflag").alias("font_id"))).alias("style_runs"))
+    segments = orders.join(by_order, "k").select("doc_id", "occurrence_id", F.lit("x").alias("text"), "style_runs")
+    asked = lines.filter("l_quantity <= 45").groupBy("k", "l_linestatus").agg(F.collect_list("run_id").alias("source_runs"))
+    runs = asked.groupBy("k").agg(F.collect_list(F.struct(F.col("l_linestatus").alias("text"), "source_runs")).alias("runs"))
+    targets = orders.filter("o_orderstatus <> 'P'").join(runs, "k").select("doc_id", "occurrence_id", "runs")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_mktsegment")
+    known = F.array(*(F.struct(F.lit(f).alias("font_id"), F.lit(c).alias("class"), F.lit(b).alias("bold"), F.lit(False).alias("italic")) for f, c, b in (("A", "serif", False), ("R", "sans", True), ("N", "unknown", False))))
+    fonts = customers.select("doc_id", F.inline(known))
+    faces = customers.select("doc_id", F.inline(F.array(*(F.struct(F.lit(c).alias("class"), F.lit(r).alias("role")) for c, r in (("serif", "regular"), ("sans", "regular"))))))
+    faces = faces.unionByName(customers.filter("c_mktsegment <> 'BUILDING'").select("doc_id", F.lit("sans").alias("class"), F.lit("bold").alias("role")))
+    return validation.target_violations(targets, segments, fonts, faces)
+
+
+TARGET_ALIGNMENT = """WITH l AS (SELECT o_custkey AS doc_id, 's' || o_orderkey AS occurrence_id, o_orderstatus, l_linenumber AS run, l_returnflag AS f, l_linestatus AS s, l_quantity AS q, c_mktsegment AS m
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+a AS (SELECT doc_id, occurrence_id, s, run FROM l WHERE o_orderstatus <> 'P' AND q <= 45),
+t AS (SELECT DISTINCT doc_id, occurrence_id FROM a),
+met AS (SELECT doc_id, occurrence_id, a.s, f, m FROM a JOIN l USING (doc_id, occurrence_id, run))
+SELECT DISTINCT doc_id, occurrence_id, 'missing' AS rule FROM l ANTI JOIN t USING (doc_id, occurrence_id)
+UNION ALL SELECT DISTINCT doc_id, occurrence_id, 'references' FROM (SELECT doc_id, occurrence_id FROM a GROUP BY doc_id, occurrence_id, s HAVING count(*) > count(DISTINCT run))
+UNION ALL SELECT DISTINCT doc_id, occurrence_id, 'unresolved-style' FROM met WHERE f = 'N'
+UNION ALL SELECT DISTINCT doc_id, occurrence_id, 'missing-face' FROM met WHERE f = 'R' AND m = 'BUILDING'
+UNION ALL SELECT DISTINCT doc_id, occurrence_id, 'mixed-styles' FROM (SELECT doc_id, occurrence_id FROM met WHERE f <> 'N' GROUP BY doc_id, occurrence_id, s HAVING count(DISTINCT f) > 1)
+UNION ALL SELECT DISTINCT doc_id, occurrence_id, 'omitted-run' FROM l SEMI JOIN t USING (doc_id, occurrence_id) ANTI JOIN a USING (doc_id, occurrence_id, run)"""
+
+
 def fonts_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return flags and line states of an order as the fonts that are drawn, a fixed map as those that are configured."""
     fonts = F.create_map(*(F.lit(x) for pair in (("N", "Sans"), ("R", "Serif"), ("O", "Mono"), ("X", "None")) for x in pair))
@@ -200,6 +234,7 @@ FROM documents WHERE doc_id % 7 % 3 = doc_id % 5 % 3 AND doc_id % 7 % 3 < 2"""
 QUERIES = {
     "concatenated_lists": (concatenated_lists, CONCATENATED_LISTS),
     "missing_fields": (missing_fields, MISSING_FIELDS),
+    "target_alignment": (target_alignment, TARGET_ALIGNMENT),
     "fonts_in_use": (fonts_in_use, FONTS_IN_USE),
     "object_order": (object_order, OBJECT_ORDER),
     "page_line_order": (page_line_order, PAGE_LINE_ORDER),

@@ -116,3 +116,21 @@ def test_markup(spark):
 def test_geometry_functions(spark):
     row = spark.range(1).select(T.fitted_size(F.lit(10.0), F.lit(20.0), F.lit(10.0)).alias("a"), T.fitted_size(F.lit(10.0), F.lit(5.0), F.lit(10.0)).alias("b"), T.is_rotated(F.lit(0.0), F.lit(1.0)).alias("c"), T.rgb(F.lit(0xFF8000)).alias("d")).first()
     assert (row["a"], row["b"], row["c"], row["d"]["r"], row["d"]["b"]) == (5.0, 10.0, True, 1.0, 0.0)
+
+
+def test_plain_text_repertoire(spark):
+    """Against a loop over categories and names, for every letter, number, mark and symbol of the first planes."""
+    cjk = [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x2FA1F)]
+
+    def plain(c):
+        kind, code = unicodedata.category(c), ord(c)
+        if c == "‖" or kind[0] in "MC" or (kind == "So" and code >= 0x1F000):
+            return False
+        if kind[0] == "L":
+            return "LATIN" in unicodedata.name(c, "") or c == "々" or any(a <= code <= b for a, b in cjk)
+        return kind[0] != "N" or c in "0123456789０１２３４５６７８９"
+
+    chars = [chr(c) for c in [*range(0x3400), *range(0xA000, 0xD800, 7), *range(0xF900, 0x11000), *range(0x1F000, 0x1F700)] if unicodedata.category(chr(c)) != "Cn"]
+    rows = values(spark, chars, S.is_plain_text(F.col("text")), F.col("text").rlike(r"\p{Cn}"))
+    assert [c for c, (ok, unknown) in zip(chars, rows) if ok != (plain(c) and not unknown)] == []
+    assert sum(unknown for _, unknown in rows) < len(rows) / 50

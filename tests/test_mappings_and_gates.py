@@ -8,9 +8,11 @@ from scriptorium.sources import documents
 from scriptorium.operators import gates, geometry, mapping
 from scriptorium.operators import segments as seg
 
-RUN = "array<struct<run_id:string,text:string,offsets:array<int>>>"
+RUN = "array<struct<run_id:string,text:string,offsets:array<int>,origin:array<double>,bbox:array<double>,size:double,color:int,font_id:string>>"
+FONTS = "doc_id long, font_id string"
+INK = ([0.0, 1.0], [0.0, 0.0, 1.0, 1.0], 9.0, 0)
 SCHEMA = f"doc_id long, id int, occurrence_id string, page int, text string, bbox array<double>, origin array<double>, dir array<double>, size double, color int, style_runs {RUN}"
-GOOD = {"doc_id": 1, "id": 4, "occurrence_id": "s4", "page": 0, "text": "Hello", "bbox": [0.0, 0.0, 1.0, 1.0], "origin": [0.0, 1.0], "dir": [1.0, 0.0], "size": 10.0, "color": 0, "style_runs": [("s4/r0", "He", [0, 2]), ("s4/r1", "llo", [2, 5])]}
+GOOD = {"doc_id": 1, "id": 4, "occurrence_id": "s4", "page": 0, "text": "Hello", "bbox": [0.0, 0.0, 1.0, 1.0], "origin": [0.0, 1.0], "dir": [1.0, 0.0], "size": 10.0, "color": 0, "style_runs": [("s4/r0", "He", [0, 2], *INK, "f1"), ("s4/r1", "llo", [2, 5], *INK, "f1")]}
 
 
 @pytest.mark.parametrize(
@@ -25,22 +27,30 @@ GOOD = {"doc_id": 1, "id": 4, "occurrence_id": "s4", "page": 0, "text": "Hello",
         ({"size": 0.0}, "size"),
         ({"color": -1}, "colour"),
         ({"style_runs": []}, "no-runs"),
-        ({"style_runs": [("s4/r0", "He", [0, 2]), ("s4/r0", "llo", [2, 5])]}, "run-names"),
-        ({"style_runs": [("s4/r0", "He", [0, 2]), ("s4/r1", "lo", [2, 4])]}, "run-tiling"),
+        ({"style_runs": [("s4/r0", "He", [0, 2], *INK, "f1"), ("s4/r0", "llo", [2, 5], *INK, "f1")]}, "run-names"),
+        ({"style_runs": [("s4/r0", "He", [0, 2], *INK, "f1"), ("s4/r1", "lo", [2, 4], *INK, "f1")]}, "run-tiling"),
+        ({"style_runs": [("s4/r0", "Hello", [0, 5, 5], *INK, None)]}, "run-tiling"),
+        ({"style_runs": [("s4/r0", "Hello", [0, 5], *INK, None)]}, None),
+        ({"style_runs": [("s4/rx", "Hello", [0, 5], *INK, None)]}, "run-names"),
+        ({"style_runs": [("s4/r0", "Hello", [0, 5], [0.0], *INK[1:], None)]}, "run-geometry"),
+        ({"style_runs": [("s4/r0", "Hello", [0, 5], *INK[:2], None, 0, None)]}, "run-geometry"),
+        ({"style_runs": [("s4/r0", "Hello", [0, 5], *INK, "f2")]}, "run-font"),
+        ({"size": float("inf")}, "size"),
+        ({"id": -1, "occurrence_id": "s-1"}, "identity"),
     ],
 )
 def test_extraction_invariants(spark, change, rule):
     row = {**GOOD, **change}
     df = spark.createDataFrame([tuple(row[c.split()[0]] for c in SCHEMA.replace(RUN, "x").split(", "))], SCHEMA)
     pages = spark.createDataFrame([(1, 0)], "doc_id long, page int")
-    found = {r["rule"] for r in mapping.extraction_violations(df, pages).collect()}
+    found = {r["rule"] for r in mapping.extraction_violations(df, pages, spark.createDataFrame([(1, "f1")], FONTS)).collect()}
     assert (rule in found) if rule else not found
 
 
 def test_duplicate_occurrences(spark):
     names = [c.split()[0] for c in SCHEMA.replace(RUN, "x").split(", ")]
     df = spark.createDataFrame([tuple(GOOD[n] for n in names)] * 2, SCHEMA)
-    assert {r["rule"] for r in mapping.extraction_violations(df, spark.createDataFrame([(1, 0)], "doc_id long, page int")).collect()} == {"duplicate"}
+    assert {r["rule"] for r in mapping.extraction_violations(df, spark.createDataFrame([(1, 0)], "doc_id long, page int"), spark.createDataFrame([(1, "f1")], FONTS)).collect()} == {"duplicate"}
 
 
 def test_body_offset(spark):
