@@ -311,3 +311,28 @@ def test_occurrences_inside_words_and_punctuation(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     wanted = sorted((i, d) for i, x in enumerate(phrases) for d, y in enumerate(texts) if x is not None and y is not None and x in y)
     assert sorted(map(tuple, parity.occurrences(t, p).collect())) == wanted
+
+
+def test_row_limits_are_those_of_all_pairs(spark):
+    """Random boxes against every pair: equal and crossing edges, thin, inverted and unowned boxes, owners of several."""
+    r = random.Random(5)
+    def box():
+        x, y = r.randrange(60), r.randrange(70)
+        sides = (x, y, x + r.choice([0, 0.5, 1, 3, 20]), y + r.choice([-3, 0, 1, 6, 30]))
+        return [r.randrange(2), 0, None, *(None if r.random() < 0.05 else float(side) for side in sides)]
+
+    segments = [[*row[:2], i, *row[3:]] for i, row in enumerate(box() for _ in range(150))]
+    obstacles = [*([*s[:2], s[2] if s[2] % 5 else None, *s[3:]] for s in segments[:80]), *([*row[:2], r.randrange(150), *row[3:]] for row in (box() for _ in range(60)))]
+    schema = "doc_id long, page int, {} long, x0 double, y0 double, x1 double, y1 double"
+    widths = spark.createDataFrame([(0, 0, 90.0), (1, 0, 300.0)], "doc_id long, page int, width double")
+    found = geometry.row_limits(spark.createDataFrame(segments, schema.format("id")), spark.createDataFrame(obstacles, schema.format("oid")), widths).collect()
+
+    def limits(s):
+        doc, _, i, x0, y0, x1, y1 = s
+        row = [o for o in obstacles if o[0] == doc and o[2] != i and None not in (y0, y1, o[4], o[6]) and not (o[6] < y0 + 1 or o[4] > y1 - 1)]
+        margin = (90.0, 300.0)[doc] - 32
+        right = min([o[3] for o in row if None not in (o[3], x1) and o[3] > x1 - 1], default=margin)
+        left = max([o[5] for o in row if None not in (o[5], x0) and o[5] < x0 + 1], default=32.0)
+        return doc, i, min(margin, right) - 1.5, max(32.0, left) + 1.5
+
+    assert sorted((f["doc_id"], f["id"], f["right_limit"], f["left_limit"]) for f in found) == sorted(map(limits, segments))

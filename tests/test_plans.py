@@ -54,3 +54,29 @@ def test_overlaps_are_not_quadratic(spark):
     """Boxes in a row: the pairs that meet grow with the boxes, not with their square."""
     boxes = spark.range(4000).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), F.col("id"), (F.col("id") * 10.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 10.0 + 12).alias("x1"), F.lit(5.0).alias("y1"))
     assert geometry.overlaps(boxes).count() == 3999
+
+
+def joined_rows(df):
+    """How many rows each join of the executed plan gives."""
+    df.collect()
+
+    def walk(node):
+        inner = {"AdaptiveSparkPlanExec": "executedPlan"}.get(node.getClass().getSimpleName())
+        inner = "plan" if inner is None and node.getClass().getSimpleName().endswith("QueryStageExec") else inner
+        if inner:
+            yield from walk(getattr(node, inner)())
+        elif node.getClass().getSimpleName().endswith("JoinExec"):
+            yield node.metrics().apply("numOutputRows").value()
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_row_limits_make_no_pairs(spark):
+    """Boxes on one row: what the joins give grows with the boxes, not with their square."""
+    boxes = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), F.col("id"), (F.col("id") * 10.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 10.0 + 5).alias("x1"), (F.col("id") % 3 + 5.0).alias("y1"))
+    limits = geometry.row_limits(boxes, boxes.withColumn("oid", F.col("id")), boxes.select("doc_id", "page").distinct().withColumn("width", F.lit(40000.0)))
+    rows = joined_rows(limits)
+    assert rows and max(rows) < 10 * 3000
+    assert {r["right_limit"] - 10 * r["id"] for r in limits.filter("id between 4 and 2990").collect()} == {8.5}
