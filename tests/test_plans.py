@@ -80,3 +80,11 @@ def test_row_limits_make_no_pairs(spark):
     rows = joined_rows(limits)
     assert rows and max(rows) < 10 * 3000
     assert {r["right_limit"] - 10 * r["id"] for r in limits.filter("id between 4 and 2990").collect()} == {8.5}
+
+
+def test_placements_make_no_pairs(spark, smallest, tmp_path):
+    """Parts whose keys put all of them on one row of one page."""
+    parts = table(spark, smallest, "part").limit(1).drop("p_partkey").crossJoin(spark.range(2000).select((F.col("id") * 2800).alias("p_partkey")))
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    rows = joined_rows(registry.queries()["placements"](spark, str(tmp_path)))
+    assert rows and max(rows) < 20 * 2000
