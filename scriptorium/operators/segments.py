@@ -5,6 +5,8 @@ A segment has doc_id, page, id, its box x0 y0 x1 y1, its origin ox oy, size, tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,9 +162,10 @@ def first_of_each(rows: DataFrame, by: list[str], order: list[str | Column], k:
     return numbered.filter(F.col("rank") <= k).withColumn("not_shown", F.greatest(F.col(group) - k, F.lit(0)))
 
 
-def document_only(strings: DataFrame, segments: DataFrame) -> DataFrame:
-    """SET-5: (doc_id, text) titles and outline entries that are on no page of their document."""
-    return strings.select("doc_id", T.strip(F.col("text")).alias("text")).filter("text <> ''").distinct().join(segments.select("doc_id", F.col("core").alias("text")), ["doc_id", "text"], "left_anti")
+def document_only(strings: DataFrame, segments: DataFrame, strip: Callable[[Column], Column] = T.strip) -> DataFrame:
+    """SET-5: (doc_id, text) titles and outline entries that are on no page of their document; ``strip`` makes a string
+    what a core is, without the spaces at its ends."""
+    return strings.select("doc_id", strip(F.col("text")).alias("text")).filter("text <> ''").distinct().join(segments.select("doc_id", F.col("core").alias("text")), ["doc_id", "text"], "left_anti")
 
 
 def image_regions(images: DataFrame, least_area: float = 400.0) -> DataFrame:

@@ -5,7 +5,7 @@ Everything here is a projection of whole tables; the SQL beside each says the sa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -14,6 +14,9 @@ from scriptorium.tables import spread, table
 
 LINES_A_PAGE = 12
 
+#: What DuckDB's trim takes off: every space separator of Unicode, and no tab or control character.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
 SQL_LINES = """lines AS (
   SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line_no, unnest(l) AS text
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
@@ -31,6 +34,10 @@ SQL_PAIRS = """pairs AS (
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 
 
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.lines_of(spread(table(spark, sf_dir, "documents")))
 

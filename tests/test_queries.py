@@ -2,8 +2,12 @@
 
 import glob
 import os
+import random
+from collections import Counter
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import scriptorium.plans.registry as registry
@@ -51,3 +55,34 @@ def test_entry(spark):
 def test_kinsoku_reads_all_documents(spark, smallest):
     found = {r["doc_id"] % 4 for r in registry.queries()["kinsoku_lines"](spark, smallest).select("doc_id").distinct().collect()}
     assert found == {0, 1, 2, 3}
+
+
+#: Lines with what trims, patterns and classes of letters may take differently.
+ODD_LINES = (
+    "12|34", "99 | 7", "--- @ 5", "_12_", "½", "Ⅷ 3", "12\x1f", "5​6", "́", "٣٤", "№ 5", " x", "　x　", "\tfoo", "foo\t", "foo\r", "Ends here.\r", "Ends here.\u0085",
+    "Ends here. ", "Ends ", "open line", "open line ", "a. ", "", "   ", "1219 É", "é 11", "中文。", "\r", "#1*2|", "ࡰ", "\U00031350 7", "10 abc", "Title src0",
+)
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """Documents of such lines in many orders; null texts, sources and an id, a document twice."""
+    r = random.Random(3)
+    texts = ["\n".join(r.choices(ODD_LINES, k=r.randrange(1, 30))) for _ in range(300)] + [None, "", "open line\nopen line\n5|6\nEnds", "\n".join(["open line"] * 12 + ["1219 É"])]
+    ids = [*range(300), 301, 302, None, 303]
+    sources = [r.choice(["src0", "src1 ", "\tsrc", None, ""]) for _ in texts]
+    rows = [*zip(ids, texts, sources), (7, texts[7], sources[7])]
+    path = tmp_path_factory.mktemp("odd")
+    table = pa.table({"doc_id": pa.array([x[0] for x in rows], pa.int64()), "text": [x[1] for x in rows], "lang": ["en"] * len(rows), "source": [x[2] for x in rows], "n_chars": pa.array([len(x[1] or "") for x in rows], pa.int64())})
+    pq.write_table(table, path / "documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["document_only"])
+def test_query_on_odd_texts(spark, odd, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{odd}/documents.parquet'")
+    result = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    found = Counter(tuple(r[c] for c in names) for r in registry.queries()[name](spark, odd).collect())
+    assert found == Counter(result.fetchall()) and found
