@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions import text as T
+from scriptorium.functions import scripts as S
 from scriptorium.operators import segments as seg
 from scriptorium.tables import spread, table
 
@@ -17,6 +17,16 @@ LINES_A_PAGE = 12
 #: What DuckDB's trim takes off: every space separator of Unicode, and no tab or control character.
 SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
+#: Letters of Unicode 14 and 15, which DuckDB's \p{L} has and that of a Java 17 has not.
+NEWER_LETTERS = (
+    "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7D0-A7D1 A7D3 A7D5-A7D9 A7F2-A7F4 10570-1057A"
+    " 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 10780-10785 10787-107B0 107B2-107BA"
+    " 10F70-10F81 11071-11072 11075 1123F-11240 11740-11746 11AB0-11ABF 11F02 11F04-11F10 11F12-11F33 12F90-12FF0 1342F 13441-13446"
+    " 16A70-16ABE 1AFF0-1AFF3 1AFF5-1AFFB 1AFFD-1AFFE 1B11F-1B122 1B132 1B155 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E290-1E2AD"
+    " 1E4D0-1E4EB 1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE 1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 31350-323AF"
+)
+_LETTER = r"[\p{L}" + S.char_class(NEWER_LETTERS) + "]"
+
 SQL_LINES = """lines AS (
   SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line_no, unnest(l) AS text
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
@@ -38,12 +48,17 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def without_letters(core: Column) -> Column:
+    """What the SQL calls passthrough: wider than PRJ-4, which wants marks and most symbols beside digits translated."""
+    return ~core.rlike(_LETTER)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.lines_of(spread(table(spark, sf_dir, "documents")))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.trim("text")
+    shown = trimmed(F.col("text"))
     left = (F.lit(72) + 3 * (F.length("text") % 3)).cast("double")
     top = (14 * (F.col("line_no") % LINES_A_PAGE)).cast("double")
     return lines(spark, sf_dir).select(
@@ -59,7 +74,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         left.alias("ox"),
         top.alias("oy"),
         F.lit(10.0).alias("size"),
-        T.is_passthrough(shown).alias("passthrough"),
+        without_letters(shown).alias("passthrough"),
     )
 
 
