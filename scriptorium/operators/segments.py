@@ -204,6 +204,7 @@ def merge_boxes(members: DataFrame) -> DataFrame:
 def merge_proposals(warnings: DataFrame, segments: DataFrame, least: int = 2) -> DataFrame:
     """MAP-3: candidate warnings (doc_id, warning_no, kind, page, ids) as editable merges with the lines' texts in order."""
     fitting = warnings.filter(F.col("kind").isNull() | F.col("kind").isin("merge-candidate", "narrow-column")).filter(F.size("ids") >= least)
-    members = fitting.select("doc_id", "warning_no", "page", F.posexplode("ids").alias("at", "id")).join(segments.select("doc_id", "id", F.trim("text").alias("line")), ["doc_id", "id"])
+    lines = segments.select(F.col("doc_id").alias("s_doc"), F.col("id").alias("s_id"), F.trim("text").alias("line")).distinct()
+    members = fitting.select("doc_id", "warning_no", "page", F.posexplode("ids").alias("at", "id")).join(lines, F.expr("doc_id <=> s_doc and id = s_id"))
     gathered = members.groupBy("doc_id", "warning_no", "page").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("m"))
     return gathered.filter(F.size("m") >= least).select("doc_id", "warning_no", "page", F.col("m.line").alias("lines"), F.lit(None).cast("string").alias("html"), F.lit("left").alias("align"))
