@@ -69,7 +69,7 @@ def translated_segments(segments: DataFrame, mapping: DataFrame, overridden: Dat
     """JOIN-1: segments with their target and state: passthrough, skipped, overridden, translated or missing."""
     named = mapping.select("core", "target").dropDuplicates(["core"])
     out = segments.join(named, "core", "left")
-    out = out.join(overridden.select("doc_id", "id").distinct().withColumn("_o", F.lit(True)), ["doc_id", "id"], "left") if overridden is not None else out.withColumn("_o", F.lit(None).cast("boolean"))
+    out = out.join(overridden.select(F.col("doc_id").alias("_o_doc"), F.col("id").alias("_o_id")).distinct().withColumn("_o", F.lit(True)), F.expr("doc_id <=> _o_doc and id = _o_id"), "left").drop("_o_doc", "_o_id") if overridden is not None else out.withColumn("_o", F.lit(None).cast("boolean"))
     out = out.join(skip.select("core").distinct().withColumn("_s", F.lit(True)), "core", "left") if skip is not None else out.withColumn("_s", F.lit(None).cast("boolean"))
     state = F.when(F.col("passthrough"), "passthrough").when(F.col("_s"), "skipped").when(F.col("_o"), "overridden").when(F.col("target").isNotNull(), "translated").otherwise("missing")
     return out.withColumn("state", state).drop("_o", "_s")
