@@ -78,7 +78,7 @@ def odd(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["document_only", "merge_candidates", "merge_proposals", "segment_states"])
+@pytest.mark.parametrize("name", ["document_only", "merge_candidates", "merge_proposals", "segment_states", "untranslated_segments"])
 def test_query_on_odd_texts(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{odd}/documents.parquet'")
