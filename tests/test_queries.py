@@ -68,8 +68,8 @@ ODD_LINES = (
 def odd(tmp_path_factory):
     """Documents of such lines in many orders; null texts, sources and an id, a document twice."""
     r = random.Random(3)
-    texts = ["\n".join(r.choices(ODD_LINES, k=r.randrange(1, 30))) for _ in range(300)] + [None, "", "open line\nopen line\n5|6\nEnds", "\n".join(["open line"] * 12 + ["1219 É"])]
-    ids = [*range(300), 301, 302, None, 303]
+    texts = ["\n".join(r.choices(ODD_LINES, k=r.randrange(1, 30))) for _ in range(300)] + [None, "", "open line\nopen line\n5|6\nEnds", "\n".join(["open line"] * 12 + ["1219 É"]), "only here\n7|89"]
+    ids = [*range(300), 301, 302, None, 303, 304]
     sources = [r.choice(["src0", "src1 ", "\tsrc", None, ""]) for _ in texts]
     rows = [*zip(ids, texts, sources), (7, texts[7], sources[7])]
     path = tmp_path_factory.mktemp("odd")
