@@ -99,3 +99,18 @@ def test_query_on_odd_keys(spark, tmp_path, name):
     names = [d[0] for d in result.description]
     found = Counter(tuple(plain(r[c]) for c in names) for r in registry.queries()[name](spark, str(tmp_path)).collect())
     assert found == Counter(tuple(plain(x) for x in row) for row in result.fetchall()) and found
+
+
+def test_untranslated_segments_on_every_character(spark, tmp_path):
+    """Each assigned character beside a digit and around a line of the dictionary, long documents, a null text in the dictionary."""
+    characters = [chr(c) for c in (*range(0x33000), *range(0xE0000, 0xE0200)) if not 0xD800 <= c <= 0xDFFF and c != 10]  # planes with letters
+    texts = ["\n".join(f"{c} 1\n{c}k{c}" for c in characters[i : i + 8192]) for i in range(0, len(characters), 8192)] + ["k\n12", None, "", "k"]
+    ids = [*(3 * i + 1 for i in range(len(texts) - 4)), 0, 3, 6, None]
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    registry.queries()["untranslated_segments"](spark, str(tmp_path)).write.parquet(str(tmp_path / "found"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    con.execute(f"create table wanted as {registry.oracle_sql()['untranslated_segments']}")
+    con.execute(f"create view found as select doc_id, id from '{tmp_path}/found/*.parquet'")
+    assert con.execute("from wanted except all from found limit 9").fetchall() == con.execute("from found except all from wanted limit 9").fetchall() == []
+    assert con.execute("select count(*) > 200000 from wanted").fetchone()[0]
